@@ -55,6 +55,11 @@ def change_pct(now: Column | str, before: Column | str) -> Column:
     return (F.try_divide(col(now), col(before)) - 1) * 100
 
 
+def half_even(c: Column | str, places: int) -> Column:
+    """Round with ties to even. Nine decimals are taken first, so float noise does not decide ties."""
+    return F.bround(col(c).cast("decimal(30,9)"), places).cast("double")
+
+
 def volatility(std: Column | str, mean: Column | str) -> Column:
     return F.coalesce(share(std, mean), F.lit(0.0))
 

@@ -49,7 +49,7 @@ def fare_features(df: DataFrame, six_bands: bool = False) -> DataFrame:
         edges, labels = fixed.FARE_BAND6_EDGES, fixed.FARE_BAND6_LABELS
     else:
         edges, labels = fixed.FARE_BAND_EDGES, fixed.FARE_BAND_LABELS
-        df = df.withColumn("total_fare", F.bround("price", 2))
+        df = df.withColumn("total_fare", C.half_even("price", 2))
     return df.withColumns({
         "fare_band": C.label_right_closed("total_fare", edges, labels), "log_fare": F.log1p("total_fare"),
     })

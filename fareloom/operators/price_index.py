@@ -109,7 +109,7 @@ def index_daily(routes: DataFrame, detailed: bool = False, strict_weights: bool
     ]
     if detailed:
         aggs += [F.avg("average_fare").alias("average_fare"), F.sum("observation_count").alias("total_observations")]
-    value = F.when(F.col("available_weight") > 0, F.bround(F.try_divide("weighted_index", "available_weight"), 2))
+    value = F.when(F.col("available_weight") > 0, C.half_even(F.try_divide("weighted_index", "available_weight"), 2))
     out = routes.groupBy("outbound_date").agg(*aggs).withColumn(index_column, value)
     if detailed:
         out = out.select("outbound_date", index_column, F.col("available_weight").alias("total_route_weight"),
@@ -122,7 +122,7 @@ def index_daily(routes: DataFrame, detailed: bool = False, strict_weights: bool
 def _index_period(daily: DataFrame, period: str, key: Column, detailed: bool, index_column: str) -> DataFrame:
     value = F.avg(index_column)
     if detailed:
-        aggs = [F.bround(value, 2).alias(index_column), F.avg("average_fare").alias("average_fare"),
+        aggs = [C.half_even(value, 2).alias(index_column), F.avg("average_fare").alias("average_fare"),
                 F.avg("route_count").alias("route_count"), F.sum("total_observations").alias("observations")]
     else:
         aggs = [value.alias(index_column), F.sum("route_count").alias("observations")]
@@ -172,13 +172,13 @@ def trend_simple(df: DataFrame, date_column: str = "outbound_date", index_column
     )
     first = F.first("_fare").over(W.orderBy("date"))
     out = daily.withColumn("_base", first).filter(F.col("_base") > 0)
-    return out.select("date", F.bround(C.share("_fare", "_base"), 2).alias(index_column)).orderBy("date")
+    return out.select("date", C.half_even(C.share("_fare", "_base"), 2).alias(index_column)).orderBy("date")
 
 
 def trend_rollup(trend: DataFrame, mode: str = "week", index_column: str = INDEX) -> DataFrame:
     """Re-average a trend to Monday weeks (`week`) or month starts (`month`), rounded to 2 decimals."""
     key = C.week_start("date") if mode == "week" else C.month_start("date")
-    value = F.bround(F.avg(F.coalesce(index_column, F.lit(0.0))), 2)
+    value = C.half_even(F.avg(F.coalesce(index_column, F.lit(0.0))), 2)
     return trend.groupBy(key.alias("date")).agg(value.alias(index_column)).orderBy("date")
 
 
@@ -274,7 +274,7 @@ def backtest_metrics(actual: DataFrame, benchmark: DataFrame, date_column: str =
     corr = F.when(F.col("n") >= 2, F.try_divide("_cov", F.col("_sa") * F.col("_sb")))
     direction = F.when(F.col("n") >= 3, F.col("_dir"))
     return out.select(
-        *[F.bround(c, 4).alias(c) for c in ("mae", "rmse", "mape")],
-        F.bround(corr, 4).alias("correlation"),
-        F.bround(direction, 2).alias("directional_accuracy_pct"),
+        *[C.half_even(c, 4).alias(c) for c in ("mae", "rmse", "mape")],
+        C.half_even(corr, 4).alias("correlation"),
+        C.half_even(direction, 2).alias("directional_accuracy_pct"),
     )

@@ -64,7 +64,7 @@ def quality_summary(df: DataFrame) -> DataFrame:
     dup = _duplicates(df) if "record_id" in df.columns else F.lit(0).cast("long")
     return out.select(
         "records", dup.alias("duplicates"), "outliers", "missing_fare", "missing_airline", "routes", "airlines",
-        F.coalesce(F.bround(C.share("_filled", cells), 2), F.lit(0.0)).alias("completeness_pct"),
+        F.coalesce(C.half_even(C.share("_filled", cells), 2), F.lit(0.0)).alias("completeness_pct"),
     )
 
 
@@ -133,7 +133,7 @@ def fare_summary(df: DataFrame, index: DataFrame | None = None, index_column: st
     out = _fare_counts(df).withColumns({index_column: current, f"{index_column}_change": change})
     decimals = [index_column, f"{index_column}_change", "average_fare", "minimum_fare", "maximum_fare"]
     if rounded:
-        out = out.withColumns({c: F.coalesce(F.bround(c, 2), F.lit(0.0)) for c in decimals})
+        out = out.withColumns({c: F.coalesce(C.half_even(c, 2), F.lit(0.0)) for c in decimals})
     return out.select(*decimals, "routes", "airlines", "observations", "travel_dates", "updated_at")
 
 

@@ -68,5 +68,6 @@ def archive_raw(landed: DataFrame, path: str) -> dict[str, int]:
         C.day("outbound_date").alias("outbound_date"),
         F.sha2("body", 256).alias("response_hash"),
         "body",
+        F.date_format(when, "yyyy-MM").alias(LAYOUT),
     )
-    return append_new(rows.withColumn(LAYOUT, F.date_format(when, "yyyy-MM")), path, RAW_KEY, ["body"])
+    return append_new(rows, path, RAW_KEY, ["body"])
