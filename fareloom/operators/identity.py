@@ -20,8 +20,10 @@ def _keep(df: DataFrame, keys: list[str], order: list[str], pick) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.distinct()
-    ranked = F.struct(*order, *[c for c in rest if c not in order])
-    best = df.groupBy(*keys).agg(pick(F.struct(*rest), ranked).alias("_best"))
+    # The row itself is what is compared: order columns first, the others after.
+    first = [c for c in order if c not in keys]
+    ranked = F.struct(*first, *[c for c in rest if c not in first])
+    best = df.groupBy(*keys).agg(pick(ranked).alias("_best"))
     return best.select(*[F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in df.columns])
 
 
@@ -31,12 +33,12 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     An aggregate rather than a ranked window: copies of a key combine before the shuffle, so a key holding a large
     part of all rows costs one row per task. Null keys equal each other.
     """
-    return _keep(df, keys, order, F.max_by)
+    return _keep(df, keys, order, F.max)
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key, the first by `order`, then by all other columns."""
-    return _keep(df, keys, order, F.min_by)
+    return _keep(df, keys, order, F.min)
 
 
 def record_fingerprint(df: DataFrame, output: str = "record_id") -> DataFrame:

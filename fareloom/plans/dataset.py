@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 
 from fareloom.operators import cleaning as clean, features as feat, identity, market
 from fareloom.operators.joins import join_search_metadata
+from fareloom.session import materialise
 from fareloom.sources.writers import write_dual
 
 # Fields every processed observation has, and their types.
@@ -20,7 +21,9 @@ def clean_dataset(df: DataFrame) -> DataFrame:
     out = clean.coerce_types(clean.normalize_text(df))
     out = clean.normalize_airlines(clean.normalize_airports(out))
     out = clean.validate_fares(clean.build_route(out, "departure_airport", "arrival_airport"))
-    out = market.outlier_global_iqr(clean.handle_missing(identity.dedup_records(out)))
+    # The unique rows are read several times below (medians, quartiles, result), so they are computed once.
+    out = materialise(identity.dedup_records(out), "unique")
+    out = market.outlier_global_iqr(clean.handle_missing(out))
     return out.orderBy("collection_timestamp") if "collection_timestamp" in out.columns else out
 
 
@@ -38,7 +41,8 @@ def build_dataset(searches: DataFrame, options: DataFrame, source: str | None =
     """Processed observations from cleaned searches and options, in the preferred column order."""
     out = clean.build_route(join_search_metadata(searches, options))
     out = feat.fare_features(feat.time_features(feat.booking_features(out)))
-    out = identity.record_id(identity.dedup_observations(out))
+    # Route statistics read the unique rows again, two or three columns at a time.
+    out = materialise(identity.record_id(identity.dedup_observations(out)), "unique")
     out = market.market_features(market.outlier_route_iqr(out))
     constants = {k: v for k, v in (("source", source), ("source_engine", source_engine)) if v is not None}
     return clean.organize_columns(out, OPTIONAL_FIELDS, constants)

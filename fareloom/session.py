@@ -26,19 +26,27 @@ def build_session(app: str = "fareloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_private: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors reach, from `spark.checkpoint.dir`; a private one only for local sessions without it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """This application's folder within `spark.checkpoint.dir`, which all executors reach.
+
+    A local session without that setting gets a private folder; on a cluster the setting is required.
+    """
+    app = spark.sparkContext.applicationId
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("Set spark.checkpoint.dir to a folder that every executor can reach.")
-        folder = tempfile.mkdtemp(prefix="fareloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+        if app not in _private:
+            _private[app] = tempfile.mkdtemp(prefix="fareloom-")
+        folder = _private[app]
+    return f"{folder.rstrip('/')}/fareloom-{app}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that nothing has used before."""
+    """A path in the shared folder that nothing has used before."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 

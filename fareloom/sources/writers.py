@@ -11,6 +11,8 @@ from fareloom.sources.readers import read_table
 # Columns that make up the storage key of an observation and of a raw response.
 OBSERVATION_KEY = ["collection_date", "route", "outbound_date", "record_id"]
 RAW_KEY = ["year", "month", "day", "route", "outbound_date", "response_hash"]
+SNAPSHOT_KEY = ["collection_date", "route", "outbound_date", "snapshot_hash"]
+MANIFEST_KEY = ["collection_date", "run_id", "route", "outbound_date"]
 
 # Stored observations are laid out by month of collection: few enough folders for years of history on many routes.
 LAYOUT = "collection_month"
@@ -71,3 +73,18 @@ def archive_raw(landed: DataFrame, path: str) -> dict[str, int]:
         F.date_format(when, "yyyy-MM").alias(LAYOUT),
     )
     return append_new(rows, path, RAW_KEY, ["body"])
+
+
+def store_snapshots(index: DataFrame, path: str) -> dict[str, int]:
+    """Store index results with a `collection_date` by the hash of their content; equal results are stored once."""
+    plain = [c for c in index.columns if c not in ("collection_date", "calculated_at")]
+    rows = index.withColumn("snapshot_hash", C.sha256_json(plain))
+    return append_new(rows, path, SNAPSHOT_KEY)
+
+
+def store_manifest(manifest: DataFrame, path: str, run_id: str) -> dict[str, int]:
+    """Store the rows of one run; a run id that was stored before adds nothing."""
+    rows = manifest.withColumns({
+        "run_id": F.lit(run_id), "run_timestamp": F.current_timestamp(), "collection_date": F.current_date(),
+    })
+    return append_new(rows, path, MANIFEST_KEY)

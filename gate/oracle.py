@@ -236,10 +236,10 @@ kept AS (SELECT CAST(id AS VARCHAR) AS record_id, airline, TRY_CAST(outbound_dat
     CAST(collected_at AS DATE) - DATE '1990-01-01' AS lead, 'INR' AS currency, TRY_CAST(price AS DOUBLE) AS total_fare
   FROM dirty WHERE outbound_date <> 'bad' AND airline IS NOT NULL AND TRY_CAST(price AS DOUBLE) IS NOT NULL)""")
 ORACLE["search_spine"] = sql("""
-SELECT DISTINCT origin AS departure_airport, destination AS arrival_airport,
+SELECT origin AS departure_airport, destination AS arrival_airport,
   CAST((SELECT min(outbound_date) FROM search) + CAST(i AS INTEGER) AS DATE) AS outbound_date,
   CAST((SELECT min(outbound_date) FROM search) + CAST(i AS INTEGER) + 3 AS DATE) AS return_date
-FROM search, range(0, 7) AS t(i)
+FROM (SELECT DISTINCT origin, destination FROM search), range(0, 7) AS t(i), range(0, 2) AS listed(n)
 WHERE origin <> destination AND origin NOT LIKE '%-%' AND destination NOT LIKE '%-%'""")
 ORACLE["organize_columns"] = sql("""
 SELECT 'record_id,route,total_fare,base_fare,stops,travel_class,source,l_partkey' AS column_order, route,
@@ -749,3 +749,6 @@ ORACLE["ingest_stream"] = sql(f"""
 SELECT route, CAST(month(collection_date) AS INTEGER) AS month, count(*) AS stored, {r('sum(total_fare)')} AS total_fare
 FROM (SELECT DISTINCT route, collection_date, outbound_date, airline, flight_numbers, duration_minutes, total_fare FROM flat)
 GROUP BY 1, 2""")
+ORACLE["sink_index_snapshot"] = sql("""
+SELECT route, CAST(sum(n) AS BIGINT) AS stored, CAST(sum(n) AS BIGINT) AS hashes FROM (
+  SELECT route, CASE WHEN route = 'ASIA-EUROPE' THEN 1 ELSE 2 END AS n FROM flat GROUP BY route, outbound_date) GROUP BY 1""")

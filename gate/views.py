@@ -5,7 +5,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fareloom import schema
 from fareloom.operators import features as feat
-from fareloom.session import fresh_path, shared_folder
+from fareloom.session import fresh_path
+from fareloom.streaming.ingest import observations_from
 
 _written: dict[tuple[str, str, str], str] = {}
 
@@ -182,6 +183,11 @@ def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "landed", lambda: _landed(spark, sf_dir)).select(*schema.LANDED.names)
 
 
+def flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations flattened from the landed responses."""
+    return stored(spark, sf_dir, "flattened", lambda: observations_from(landed(spark, sf_dir), "provider", "engine"))
+
+
 def _dirty_searches(spark, sf_dir):
     rows = searches(spark, sf_dir)
     i = F.col("id")
