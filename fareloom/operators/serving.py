@@ -20,10 +20,14 @@ def _newest_first(df: DataFrame) -> list[Column]:
 
 
 def flights_query(df: DataFrame, route: str | None = None, airline: str | None = None,
-                  limit: int = fixed.FLIGHTS_DEFAULT_LIMIT) -> DataFrame:
-    """Newest observations of a route and carrier, compared without regard to case; limit between 1 and 1000."""
+                  limit: int = fixed.FLIGHTS_DEFAULT_LIMIT, upper_routes: bool = False) -> DataFrame:
+    """Newest observations of a route and carrier, compared without regard to case; limit between 1 and 1000.
+
+    `upper_routes` says that stored routes are upper-case, as processed ones are; the scan can then skip by route.
+    """
     if _chosen(route):
-        df = df.filter(F.upper("route") == route.upper())
+        stored = F.col("route") if upper_routes else F.upper("route")
+        df = df.filter(stored == route.upper())
     if _chosen(airline):
         df = df.filter(F.lower("airline") == airline.lower())
     return df.orderBy(*_newest_first(df)).limit(max(1, min(limit, fixed.FLIGHTS_MAX_LIMIT)))
@@ -51,11 +55,15 @@ def filter_values(df: DataFrame, origin: str | None = None) -> DataFrame:
 def filter_observations(df: DataFrame, origin: str | None = None, destination: str | None = None,
                         travel_date: str | None = None, window: str | None = None,
                         airline: str | None = None) -> DataFrame:
-    """Rows that meet every given condition; None or ALL leaves a condition out."""
+    """Rows that meet every given condition; None or ALL leaves a condition out.
+
+    Endpoints are compared on their own columns where the table has them, so that the scan can skip by them.
+    """
     if _chosen(origin):
-        df = df.filter(C.route_part("route", 1) == origin)
+        df = df.filter((F.col("origin") if "origin" in df.columns else C.route_part("route", 1)) == origin)
     if _chosen(destination):
-        df = df.filter(C.route_part("route", 2) == destination)
+        end = F.col("destination") if "destination" in df.columns else C.route_part("route", 2)
+        df = df.filter(end == destination)
     if _chosen(travel_date):
         df = df.filter(F.col("outbound_date") == F.lit(travel_date).cast("date"))
     if _chosen(window):

@@ -49,6 +49,7 @@ def build_dataset(searches: DataFrame, options: DataFrame, source: str | None =
 
 
 def write_dataset(df: DataFrame, cleaned_folder: str, processed_folder: str) -> None:
-    """Store the processed observations twice, as the cleaned and as the analytical table."""
-    write_dual(df, cleaned_folder, "observations_cleaned")
-    write_dual(df, processed_folder, "observations_processed")
+    """Store the processed observations twice, as the cleaned and as the analytical table; they are computed once."""
+    done = materialise(df, "observations")
+    write_dual(done, cleaned_folder, "observations_cleaned", staged=True)
+    write_dual(done, processed_folder, "observations_processed", staged=True)

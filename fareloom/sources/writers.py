@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from fareloom.functions import columns as C
 from fareloom.operators.identity import keep_first
-from fareloom.session import materialise
+from fareloom.session import BROADCAST_ROWS, materialise
 from fareloom.sources.readers import read_table
 
 # Columns that make up the storage key of an observation and of a raw response.
@@ -23,12 +23,13 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: F.to_json(f.name) for f in df.schema.fields if isinstance(f.dataType, nested)})
 
 
-def write_dual(df: DataFrame, folder: str, name: str) -> bool:
+def write_dual(df: DataFrame, folder: str, name: str, staged: bool = False) -> bool:
     """Write `name` as Parquet and as CSV with header; an empty result is skipped and returns False.
 
-    The result is computed once, into the shared folder, and both outputs are copied from there.
+    The result is computed once, into the shared folder, and both outputs are copied from there. `staged` says that
+    `df` is a stored table already.
     """
-    done = materialise(df, name)
+    done = df if staged else materialise(df, name)
     if done.isEmpty():
         return False
     done.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
@@ -36,29 +37,51 @@ def write_dual(df: DataFrame, folder: str, name: str) -> bool:
     return True
 
 
-def append_new(new: DataFrame, path: str, keys: list[str] | None = None, order: list[str] | None = None,
-               layout: str = LAYOUT) -> dict[str, int]:
-    """Append the rows whose key is not stored yet; returns how many were stored and how many skipped.
+def stored_keys(batch: DataFrame, path: str, keys: list[str] | None = None, layout: str = LAYOUT) -> DataFrame:
+    """Distinct keys of a stored batch that the table at `path` holds already.
 
-    Rows are first made unique by key, so replaying a batch adds nothing. The table is partitioned by `layout`, which
-    must follow from the key, and only the partitions between the batch's first and last are compared. Files are
-    rebalanced, so a hot partition is split over tasks and small ones share a file writer.
+    Only partitions between the batch's first and last `layout` value are read. A batch of checked small size is
+    broadcast against them, so stored rows do not move; a larger one is joined by shuffle.
     """
     keys = keys or OBSERVATION_KEY
-    if layout == LAYOUT and LAYOUT not in new.columns:
-        new = new.withColumn(LAYOUT, C.month_key("collection_date"))
-    batch = materialise(new, "batch")
     total, low, high = batch.agg(F.count("*"), F.min(layout), F.max(layout)).first()
-    stored = read_table(new.sparkSession, path, batch.select(*keys, *([] if layout in keys else [layout])).schema)
-    stored = stored.filter(F.col(layout).between(F.lit(low), F.lit(high)))
-    stored = stored.select(*[F.col(k).alias(f"_s_{k}") for k in keys])
+    wanted = list(dict.fromkeys([*keys, layout]))
+    table = read_table(batch.sparkSession, path, batch.select(*wanted).schema)
+    table = table.filter(F.col(layout).between(F.lit(low), F.lit(high))).select(*keys)
+    asked = batch.select(*keys).distinct()
+    if total <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)
+    return table.join(asked.withColumnsRenamed({k: f"_a_{k}" for k in keys}), _same(keys, "_a_"), "left_semi").distinct()
+
+
+def _same(keys: list[str], prefix: str):
     match = F.lit(True)
     for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
-    fresh = materialise(keep_first(batch, keys, order or []).join(stored, match, "left_anti"), "fresh")
+        match = match & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return match
+
+
+def with_layout(df: DataFrame) -> DataFrame:
+    return df if LAYOUT in df.columns else df.withColumn(LAYOUT, C.month_key("collection_date"))
+
+
+def append_new(new: DataFrame, path: str, keys: list[str] | None = None, order: list[str] | None = None,
+               layout: str = LAYOUT, staged: bool = False) -> dict[str, int]:
+    """Append the rows whose key is not stored yet; returns how many were stored and how many skipped.
+
+    Rows are first made unique by key, so replaying a batch adds nothing. The table is partitioned by `layout`, which
+    must follow from the key. Files are rebalanced, so a hot partition is split over tasks and small ones share a
+    file writer. `staged` says that `new` is a stored table already.
+    """
+    keys = keys or OBSERVATION_KEY
+    if layout == LAYOUT:
+        new = with_layout(new)
+    batch = new if staged else materialise(new, "batch")
+    known = stored_keys(batch, path, keys, layout).withColumnsRenamed({k: f"_s_{k}" for k in keys})
+    fresh = materialise(keep_first(batch, keys, order or []).join(known, _same(keys, "_s_"), "left_anti"), "fresh")
     fresh.hint("rebalance", F.col(layout)).write.mode("append").partitionBy(layout).parquet(path)
     added = fresh.count()
-    return {"uploaded": added, "skipped_duplicates": total - added}
+    return {"uploaded": added, "skipped_duplicates": batch.count() - added}
 
 
 def archive_raw(landed: DataFrame, path: str) -> dict[str, int]:

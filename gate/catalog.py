@@ -483,7 +483,7 @@ def quality_summary(s, d):
 def quality_filtered(s, d):
     rows = _typed_dirty(s, d).withColumns({"collection_timestamp": F.col("collected_at"),
                                            "fare_outlier": F.col("total_fare") > 90000})
-    return quality.quality_filtered(serving.filter_observations(rows, origin="ASIA"))
+    return quality.quality_filtered(serving.filter_observations(rows.drop("origin"), origin="ASIA"))
 
 
 @query
@@ -712,7 +712,7 @@ def _listed(s, d):
 
 @query
 def flights_query(s, d):
-    return serving.flights_query(_listed(s, d), "asia-europe", "brand#12", 5000)
+    return serving.flights_query(_listed(s, d), "asia-europe", "brand#12", 5000, upper_routes=True)
 
 
 @query

@@ -34,6 +34,7 @@ def test_aggregates_read_only_their_columns(table):
 def test_filters_reach_the_scan(table):
     text = plan(serving.filter_observations(table, travel_date="2024-01-02"))
     assert "EqualTo(outbound_date,2024-01-02)" in text
+    assert "EqualTo(route,A-B)" in plan(serving.flights_query(table, "a-b", upper_routes=True))
 
 
 def test_wide_rows_are_not_shuffled_for_route_context(table):
