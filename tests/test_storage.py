@@ -57,6 +57,15 @@ def test_build_dataset(tables):
                    (9, TS(2024, 1, 5, 10), 5, 2, None, "0-3000", "provider", None)]
 
 
+def test_processed_table_is_written_twice(spark, tables, tmp_path):
+    out = dataset.build_dataset(*tables)
+    dataset.write_dataset(out, str(tmp_path / "cleaned"), str(tmp_path / "processed"))
+    back = readers.read_processed(spark, str(tmp_path / "processed" / "observations_processed.parquet"))
+    assert back.columns == out.columns and back.count() == 2
+    text = spark.read.option("header", True).csv(str(tmp_path / "cleaned" / "observations_cleaned.csv"))
+    assert text.count() == 2
+
+
 def test_json_reader_takes_objects_lists_and_skips_broken_files(spark, tmp_path):
     deep = tmp_path / "collection_date=2024-01-05"
     deep.mkdir()
