@@ -1 +1,7 @@
 """Operators for preparing training text. Nothing else in the library imports this package."""
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors carry their code, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

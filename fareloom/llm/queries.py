@@ -3,10 +3,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fareloom.llm import decontamination
+from fareloom.llm import decontamination, simhash
 from fareloom.llm.common import table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = simhash.near_classes(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_passages(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -14,5 +19,6 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op7_decontamination": op7_decontamination,
 }
