@@ -33,22 +33,23 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def spread(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
-    """`row` (the kept columns as one struct, so that no name can clash) and `text`."""
+def spread(df: DataFrame, text: str, keep: Sequence[str], extra: Column | None = None) -> DataFrame:
+    """`row` (the kept columns as one struct, so that no name can clash), `text`, and `extra` if given."""
     row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(None).cast("int").alias("none"))
-    return df.select(row.alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
+    more = [] if extra is None else [extra.alias("extra")]
+    return df.select(row.alias("row"), F.col(f"`{text}`").cast("string").alias("text"), *more)
 
 
 def per_text(
     df: DataFrame, text: str, keep: Sequence[str], fields: str,
-    make: Callable[[], Callable[[list[bytes | None]], Iterable[dict]]],
+    make: Callable[[], Callable[..., Iterable[dict]]], extra: Column | None = None,
 ) -> DataFrame:
     """The kept columns and one struct `made` per row, computed from the UTF-8 bytes of the text column.
 
     `make()` runs once per task and returns a function from a list of texts to one dict per text with the keys of
-    `fields` (a DDL list). Texts arrive in Arrow batches and leave as Arrow columns, so no row passes alone.
+    `fields` (a DDL list); `extra`, if given, comes as a second list. Texts arrive in Arrow batches and leave as Arrow columns, so no row passes alone.
     """
-    source = spread(df, text, keep)
+    source, given = spread(df, text, keep, extra), extra is not None
     wanted = _parse_datatype_string(fields)
     out = StructType([StructField("row", source.schema["row"].dataType), StructField("made", wanted)])
 
@@ -58,7 +59,8 @@ def per_text(
             for low in range(0, batch.num_rows, 1024):
                 part = batch.slice(low, 1024)
                 texts = part.column("text").cast(pa.binary()).to_pylist()
-                made = pa.array(list(work(texts)), kind)
+                others = [part.column("extra").to_pylist()] if given else []
+                made = pa.array(list(work(texts, *others)), kind)
                 yield pa.RecordBatch.from_arrays([part.column("row"), made], ["row", "made"])
 
     return source.mapInArrow(run, out)

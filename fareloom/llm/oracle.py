@@ -22,4 +22,16 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
 """
 
-ORACLE = {"op7_decontamination": _OP7}
+_OP5 = r"""
+WITH l AS (SELECT doc_id, line, pos, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+           FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents)),
+r AS (SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
+j AS (SELECT l.*, coalesce(doc_id <> keeper, false) AS gone FROM l LEFT JOIN r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY 1
+"""
+
+ORACLE = {"op5_line_dedup": _OP5, "op7_decontamination": _OP7}
