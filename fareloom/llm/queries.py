@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fareloom.llm import decontamination, line_dedup, simhash
+from fareloom.llm import decontamination, line_dedup, mixing, simhash
 from fareloom.llm.common import table
 
 
@@ -23,8 +23,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(found, ["doc_id"])
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op5_line_dedup": op5_line_dedup,
     "op7_decontamination": op7_decontamination,
+    "op10_mixing": op10_mixing,
 }
