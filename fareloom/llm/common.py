@@ -1,6 +1,8 @@
 """Helpers shared by the operators of this package."""
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -69,3 +71,16 @@ def per_text(
 def opened(df: DataFrame, keep: Sequence[str], made: Sequence[str]) -> DataFrame:
     """The result of `per_text` as flat columns."""
     return df.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], *[F.col(f"made.`{c}`").alias(c) for c in made])
+
+
+def per_process(name: str, make: Callable[[], object]) -> object:
+    """The object of that name in this Python process, made once. Executors keep their Python workers between tasks."""
+    held = sys.modules.setdefault("_fareloom_held", types.ModuleType("_fareloom_held")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
+def binary_files(spark: SparkSession, path: str):
+    """RDD of (path, bytes) over the files of a folder. A task holds one file at a time, so keep files small."""
+    return spark.sparkContext.binaryFiles(path, minPartitions=spark.sparkContext.defaultParallelism)

@@ -1,10 +1,14 @@
 """One query per operator of this package, over whole tables, with production parameters."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fareloom.llm import decontamination, line_dedup, mixing, simhash
+from fareloom.llm import decontamination, line_dedup, mixing, simhash, token_records
 from fareloom.llm.common import table
+from fareloom.session import fresh_path
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +27,13 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(found, ["doc_id"])
 
 
+def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    token_records.write_records(table(spark, sf_dir, "documents"), path, TOKENIZER)
+    index = token_records.write_index(spark, path)
+    return index.select(F.col("id").cast("long").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -32,5 +43,6 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op5_line_dedup": op5_line_dedup,
     "op7_decontamination": op7_decontamination,
+    "op8_token_records": op8_token_records,
     "op10_mixing": op10_mixing,
 }
