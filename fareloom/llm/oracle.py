@@ -34,4 +34,13 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM j GROUP BY 1
 """
 
-ORACLE = {"op5_line_dedup": _OP5, "op7_decontamination": _OP7}
+_OP4 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+k AS (SELECT h, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY 1)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM p LEFT JOIN k USING (h)
+"""
+
+ORACLE = {"op4_warc": _OP4, "op5_line_dedup": _OP5, "op7_decontamination": _OP7}
