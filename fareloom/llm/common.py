@@ -26,13 +26,20 @@ def lower_ascii(c: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Array of the words of `text`, separated by white space (see SPACES); null has none."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))
-    return F.filter(F.split(spaced, " "), lambda w: w != F.lit(""))
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, "[ \t-\r]+"))
 
 
-def word_count(text: Column) -> Column:
-    """Number of words as a long; null has none."""
-    return F.size(words(text)).cast("long")
+def shingle_hashes(words: Column, size: int) -> Column:
+    """XXH64 of every run of `size` words, in order, repeats included; fewer words are one shingle, no words none.
+
+    `words` must be a column of its own, not an expression, or every shingle would compute it anew.
+    """
+    many = F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)),
+                       lambda i: F.xxhash64(*[F.get(words, i + (k - 1)) for k in range(size)]))
+    few = F.array(F.xxhash64(F.array_join(words, " ")))
+    return F.when(F.size(words) >= size, many).when(F.size(words) > 0, few).otherwise(
+        F.array().cast("array<bigint>"))
 
 
 def spread(df: DataFrame, text: str, keep: Sequence[str], extra: Column | None = None) -> DataFrame:

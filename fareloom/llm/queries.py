@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fareloom.llm import decontamination, line_dedup, mixing, simhash, token_records, toxicity, warc
+from fareloom.llm import decontamination, line_dedup, mixing, simhash, sketches, token_records, toxicity, warc
 from fareloom.llm.common import table
 from fareloom.session import fresh_path
 
@@ -16,6 +16,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = sketches.compare_edits(table(spark, sf_dir, "documents"))
+    return pairs.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        sketches.as_text(F.col("sketch")).alias("fingerprint"),
+        sketches.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        sketches.containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        sketches.containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -56,6 +66,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_fingerprints": op2_fingerprints,
     "op4_warc": op4_warc,
     "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
