@@ -1,6 +1,8 @@
 """The same results as DuckDB SQL, where SQL can express them."""
 from __future__ import annotations
 
+from fareloom.llm import licenses
+
 _OP7 = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
@@ -43,4 +45,28 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
 FROM p LEFT JOIN k USING (h)
 """
 
-ORACLE = {"op4_warc": _OP4, "op5_line_dedup": _OP5, "op7_decontamination": _OP7}
+_WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+
+
+def _op9() -> str:
+    rows = ", ".join("('{}', '{}')".format(*(v.replace("'", "''") for v in t)) for t in licenses.TEMPLATES)
+    return f"""
+WITH t AS (SELECT name, {_WORDS} AS w FROM (VALUES {rows}) AS v(name, text)),
+ts AS (SELECT DISTINCT name, CAST(power(2, ceil(log2(len(w) - 4))) AS BIGINT) AS m, array_to_string(w[k:k + 4], ' ') AS s
+       FROM (SELECT name, w, unnest(range(1, len(w) - 3)) AS k FROM t)),
+tn AS (SELECT name, m, count(*) AS n FROM ts GROUP BY 1, 2),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+ds AS (SELECT doc_id, k - 1 AS p, array_to_string(w[k:k + 4], ' ') AS s
+       FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM d WHERE len(w) >= 5)),
+hits AS (SELECT doc_id, name, m, s, unnest([p // m, p // m - 1]) AS win FROM ds JOIN ts USING (s)),
+held AS (SELECT doc_id, name, count(DISTINCT s) / n AS contained FROM hits JOIN tn USING (name, m) WHERE win >= 0
+         GROUP BY doc_id, name, win, n HAVING count(DISTINCT s) / n >= 0.8),
+best AS (SELECT doc_id, name, max(contained) AS contained FROM held GROUP BY 1, 2)
+SELECT doc_id, count(name) AS n_licenses, coalesce(string_agg(name, ',' ORDER BY name), '') AS licenses,
+       coalesce(max(contained), 0) AS contained
+FROM documents LEFT JOIN best USING (doc_id) GROUP BY 1
+"""
+
+
+ORACLE = {"op9_licenses": _op9(), "op4_warc": _OP4, "op5_line_dedup": _OP5, "op7_decontamination": _OP7}

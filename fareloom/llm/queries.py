@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fareloom.llm import decontamination, line_dedup, mixing, simhash, sketches, token_records, toxicity, warc
+from fareloom.llm import decontamination, licenses, line_dedup, mixing, simhash, sketches, token_records, toxicity, warc
 from fareloom.llm.common import table
 from fareloom.session import fresh_path
 
@@ -59,6 +59,14 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select(F.col("id").cast("long").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    names = F.transform("found", lambda x: x["license"])
+    return found.select(
+        "doc_id", F.size("found").cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"),
+        F.coalesce(F.array_max(F.transform("found", lambda x: x["contained"])), F.lit(0.0)).alias("contained"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -72,5 +80,6 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
     "op8_token_records": op8_token_records,
+    "op9_licenses": op9_licenses,
     "op10_mixing": op10_mixing,
 }
