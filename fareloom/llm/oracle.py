@@ -69,4 +69,33 @@ FROM documents LEFT JOIN best USING (doc_id) GROUP BY 1
 """
 
 
-ORACLE = {"op9_licenses": _op9(), "op4_warc": _OP4, "op5_line_dedup": _OP5, "op7_decontamination": _OP7}
+_HOST = r"""lower(regexp_replace(regexp_replace(regexp_extract(coalesce({0}, ''),
+  '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]*)', 1), ':[0-9]*$', ''), '\.$', ''))"""
+_ADDRESS = _HOST + r""" || regexp_replace(regexp_replace(regexp_replace(coalesce({0}, ''), '#.*$', ''),
+  '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*', ''), '/$', '')"""
+_OP3 = rf"""
+WITH c AS (SELECT page_id, url, {_HOST.format('url')} AS host, {_ADDRESS.format('url')} AS address,
+             to_timestamp(1704067200 + CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 8) AS BIGINT) % 31622400) AS t
+           FROM pages),
+seen AS (SELECT DISTINCT kind, pattern FROM (
+           SELECT 'domain' AS kind, regexp_replace(host, '^(www|m|blog)\.', '') AS pattern FROM c
+           UNION ALL SELECT 'host', host FROM c UNION ALL SELECT 'url', url FROM c) WHERE pattern <> ''),
+h AS (SELECT kind, pattern, md5(kind || '|' || pattern || '|' || k) AS d FROM seen, range(3) AS r(k)),
+e AS (SELECT 'list' || CAST('0x' || substr(d, 1, 2) AS BIGINT) % 3 AS list,
+        CASE kind WHEN 'domain' THEN 'd:' || pattern WHEN 'host' THEN 'h:' || pattern
+          ELSE 'u:' || {_ADDRESS.format('pattern')} END AS key,
+        CAST('0x' || substr(d, 3, 2) AS BIGINT) % 2 = 1 AS removed,
+        to_timestamp(1704067200 + CAST('0x' || substr(d, 5, 4) AS BIGINT) % 366 * 86400) AS dated FROM h),
+g AS (SELECT list, key, dated, bool_or(removed) AS removed FROM e GROUP BY 1, 2, 3),
+i AS (SELECT *, lead(dated) OVER (PARTITION BY list, key ORDER BY dated) AS until FROM g),
+k AS (SELECT page_id, t, 'u:' || address AS key FROM c WHERE host <> ''
+      UNION ALL SELECT page_id, t, 'h:' || host FROM c WHERE host <> ''
+      UNION ALL SELECT page_id, t, 'd:' || array_to_string((string_split(host, '.'))[n:], '.')
+      FROM (SELECT page_id, t, host, unnest(range(1, len(string_split(host, '.')) + 1)) AS n FROM c WHERE host <> '')),
+m AS (SELECT page_id, list FROM k JOIN i USING (key) WHERE NOT removed AND dated <= t AND (until IS NULL OR t < until)),
+a AS (SELECT page_id, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM m GROUP BY 1)
+SELECT page_id, coalesce(n, 0) AS n_entries, coalesce(lists, '') AS lists, n IS NOT NULL AS listed
+FROM pages LEFT JOIN a USING (page_id)
+"""
+
+ORACLE = {"op3_url_lists": _OP3, "op9_licenses": _op9(), "op4_warc": _OP4, "op5_line_dedup": _OP5, "op7_decontamination": _OP7}

@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fareloom.llm import decontamination, licenses, line_dedup, mixing, simhash, sketches, token_records, toxicity, warc
+from fareloom.llm import decontamination, licenses, line_dedup, mixing, simhash, sketches, token_records, toxicity, url_lists, warc
 from fareloom.llm.common import table
 from fareloom.session import fresh_path
 
@@ -26,6 +26,40 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         sketches.containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
 
 
+def dated_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with a fetch time in 2024, which the tables lack, from a hash of the id."""
+    second = F.conv(F.substring(F.md5(F.col("page_id").cast("string")), 1, 8), 16, 10).cast("long") % (366 * 86400)
+    return table(spark, sf_dir, "pages").select(
+        "page_id", "url", F.timestamp_seconds(F.lit(1704067200) + second).alias("fetched"))
+
+
+def dated_entries(captures: DataFrame) -> DataFrame:
+    """Lists with three dated entries for every host, its domain and every address: which list, kind, action and day
+    come from hashes."""
+    host = url_lists.host_of(F.col("url"))
+    site = F.regexp_replace(host, r"^(www|m|blog)\.", "")
+    seen = captures.select(F.explode(F.array(
+        F.struct(F.lit("domain").alias("kind"), site.alias("pattern")), F.struct(F.lit("host").alias("kind"), host.alias("pattern")),
+        F.struct(F.lit("url").alias("kind"), F.col("url").alias("pattern")))).alias("x")).select("x.*").filter(
+        F.col("pattern") != "").distinct()
+    turn = seen.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn(
+        "d", F.md5(F.concat_ws("|", "kind", "pattern", F.col("k").cast("string"))))
+
+    def digit(low: int, n: int):
+        return F.conv(F.substring("d", low, n), 16, 10).cast("long")
+
+    return turn.select(
+        F.concat(F.lit("list"), (digit(1, 2) % 3).cast("string")).alias("list"), "kind", "pattern",
+        F.when(digit(3, 2) % 2 == 0, "add").otherwise("remove").alias("action"),
+        F.timestamp_seconds(F.lit(1704067200) + digit(5, 4) % 366 * 86400).alias("at"))
+
+
+def op3_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = dated_captures(spark, sf_dir)
+    marked = url_lists.evaluate(captures, dated_entries(captures))
+    return marked.select("page_id", "n_entries", F.array_join("lists", ",").alias("lists"), "listed")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -75,6 +109,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_fingerprints": op2_fingerprints,
+    "op3_url_lists": op3_url_lists,
     "op4_warc": op4_warc,
     "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
