@@ -75,9 +75,16 @@ def per_text(
     return source.mapInArrow(run, out)
 
 
+def without(keep: Sequence[str], made: Sequence[str]) -> list[str]:
+    """The kept columns that no result replaces. A result takes the place of a column of its name, whatever its case."""
+    names = {c.lower() for c in made}
+    return [c for c in keep if c.lower() not in names]
+
+
 def opened(df: DataFrame, keep: Sequence[str], made: Sequence[str]) -> DataFrame:
     """The result of `per_text` as flat columns."""
-    return df.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], *[F.col(f"made.`{c}`").alias(c) for c in made])
+    return df.select(*[F.col(f"row.`{c}`").alias(c) for c in without(keep, made)],
+                     *[F.col(f"made.`{c}`").alias(c) for c in made])
 
 
 def per_process(name: str, make: Callable[[], object]) -> object:

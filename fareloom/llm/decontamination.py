@@ -20,7 +20,7 @@ from itertools import accumulate
 import ahocorasick
 from pyspark.sql import DataFrame, functions as F
 
-from fareloom.llm.common import opened, per_text
+from fareloom.llm.common import opened, per_text, without
 
 # Byte table of the normal form: kept bytes stay, A-Z become a-z, all other ASCII becomes a space.
 _KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz"
@@ -123,7 +123,7 @@ def find_passages(
     part has its own automaton and scans the texts in a pass of its own, and the passes' intervals are united.
     """
     spark = docs.sparkSession
-    keep = docs.columns if keep is None else keep
+    keep = without(docs.columns if keep is None else keep, ["n_words", "hits", "items", "spans"])
     listed = items.select(
         F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("null")).alias("item"),
         F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).cast("binary").alias("raw"))

@@ -20,7 +20,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fareloom.llm.common import lower_ascii, shingle_hashes
+from fareloom.llm.common import lower_ascii, shingle_hashes, without
 
 SHINGLE, CONTAINED = 5, 0.8
 # Least similarity of a window and a template that it holds to 0.8: a template of just over m / 2 shingles in a window of
@@ -125,10 +125,11 @@ def scan(
 ) -> DataFrame:
     """The kept columns and `found`: array of struct<license, first_word (of the window, from 1), contained>, one per
     license, by name."""
-    keep = docs.columns if keep is None else keep
+    keep = without(docs.columns if keep is None else keep, ["found"])
     n = bands(certain=certain)
     prepared = prepare(docs.sparkSession, templates, n)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), license_words(F.col(f"`{text}`")).alias("_w"))
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(None).cast("int").alias("none"))
+    rows = docs.select(kept.alias("_row"), license_words(F.col(f"`{text}`")).alias("_w"))
     rows = rows.withColumn("_h", shingle_hashes(F.col("_w"), SHINGLE))
     every = F.array().cast("array<struct<license:string,first_word:int,contained:double>>")
     rows = rows.withColumn("_all", every)
@@ -146,4 +147,4 @@ def scan(
         ranked = F.transform(own, lambda x: F.struct((-x["contained"]).alias("c"), x["first_word"].alias("f"), x.alias("x")))
         return F.array_min(ranked)["x"]
 
-    return rows.select("_row.*", F.transform(F.sort_array(names), best).alias("found"))
+    return rows.select(*[F.col(f"_row.`{c}`").alias(c) for c in keep], F.transform(F.sort_array(names), best).alias("found"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from fareloom.llm.common import opened, per_text, spread
+from fareloom.llm.common import per_text, spread, without
 from fareloom.session import materialise
 
 # Bits of either filter: 32 MB to broadcast.
@@ -125,9 +125,9 @@ def drop_repeated_lines(
     docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, min_chars: int = 20,
     min_docs: int = 3, bits: int = BITS,
 ) -> DataFrame:
-    """The kept columns with the rewritten text, n_lines (before) and n_dropped."""
+    """The kept columns, the rewritten text, n_lines (before) and n_dropped."""
     keep = docs.columns if keep is None else keep
-    others = [c for c in keep if c != text]
+    others = without(keep, ["n_lines", "n_dropped", text])
     held = np.zeros(bits // 8, np.uint8)
     for row in twice_seen(docs, text, min_chars, bits).toLocalIterator():
         low = row.segment * 2 ** _SEGMENT // 8
@@ -137,8 +137,9 @@ def drop_repeated_lines(
         F.col("n") >= min_docs).select("key", "keeper")
     lost = found.join(repeated, "key").filter(~F.col("id").eqNullSafe(F.col("keeper")))
     lost = lost.groupBy(F.col("id").alias("_lost_id")).agg(F.collect_set("key").alias("_lost"))
-    source = docs.select(*dict.fromkeys([*(f"`{c}`" for c in keep), f"`{text}`", f"`{doc_id}`"]))
-    met = source.join(lost, source[f"`{doc_id}`"].eqNullSafe(lost["_lost_id"]), "left")
+    kept = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("int")
+    source = docs.select(kept.alias("_row"), F.col(f"`{text}`").alias("_text"), F.col(f"`{doc_id}`").alias("_id"))
+    met = source.join(lost, F.col("_id").eqNullSafe(F.col("_lost_id")), "left")
 
     def make():
         def one(raw: bytes | None, keys: list[bytes] | None) -> dict:
@@ -150,8 +151,6 @@ def drop_repeated_lines(
 
         return lambda texts, lost_keys: map(one, texts, lost_keys)
 
-    done = per_text(met, text, others, "text string, n_lines long, n_dropped long", make, extra=F.col("_lost"))
-    kept = [F.col("made.text").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in keep]
-    if text not in keep:
-        kept.append(F.col("made.text").alias(text))
-    return done.select(*kept, "made.n_lines", "made.n_dropped")
+    done = per_text(met, "_text", ["_row"], "text string, n_lines long, n_dropped long", make, extra=F.col("_lost"))
+    return done.select(*[F.col(f"row._row.`{c}`").alias(c) for c in others], F.col("made.text").alias(text),
+                       "made.n_lines", "made.n_dropped")
