@@ -129,39 +129,44 @@ def find_passages(
         F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).cast("binary").alias("raw"))
     total = listed.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     parts = total // max_item_chars + 1
+    # The text travels along only if it is scanned again.
+    carried = keep if parts == 1 else [F.col(f"`{c}`") for c in keep]
+    source = docs if parts == 1 else docs.select(
+        (F.struct(*carried) if carried else F.lit(None).cast("int")).alias("_row"), F.col(f"`{text}`").cast("string").alias("text"))
     done = None
     for part in range(parts):
         own = listed.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == part) if parts > 1 else listed
         windows = item_windows(((r.item, bytes(r.raw)) for r in own.toLocalIterator()), window)
         scan = _scanner(spark.sparkContext.broadcast(windows))
+        if parts == 1:
+            return opened(per_text(source, text, keep, FIELDS, scan), keep, ["n_words", "hits", "items", "spans"])
         if done is None:
-            done = opened(per_text(docs, text, [*keep, text] if parts > 1 and text not in keep else keep, FIELDS, scan),
-                          [*keep, text] if parts > 1 and text not in keep else keep,
-                          ["n_words", "hits", "items", "spans"])
-            continue
-        done = _united(done, per_text(done, text, done.columns, FIELDS, scan))
-    return done.select(*[F.col(f"`{c}`") for c in keep], "n_words", "hits", "items", "spans")
-
+            done = opened(per_text(source, "text", ["_row", "text"], FIELDS, scan), ["_row", "text"], ["n_words", "hits", "items"])
+        else:
+            done = _united(per_text(done, "text", ["_row", "text", "n_words", "hits", "items"], FIELDS, scan))
 
-def _united(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Hits of two passes over the same texts in one set of disjoint intervals."""
-    def union(name: str, low: str, high: str, gap: int):
-        both = F.array_sort(F.concat(f"row.{name}", f"made.{name}"))
-        start = F.slice(both, 1, 0)
+    def make():
+        return lambda texts, hits: [
+            {"spans": _spans(raw, [(h["first"], h["last"]) for h in own]) if own else []} for raw, own in zip(texts, hits)]
 
-        def add(done, x):
-            last = F.try_element_at(done, F.lit(-1))
-            joins = last.isNotNull() & (x[low] <= last[high] + gap)
-            grown = F.struct(last[low].alias(low), F.greatest(last[high], x[high]).alias(high))
-            kept = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
-            return F.when(joins, F.concat(kept, F.array(grown))).otherwise(F.concat(done, F.array(x)))
+    done = per_text(done, "text", ["_row", "n_words", "hits", "items"], "spans array<struct<start:int,end:int>>", make,
+                    extra=F.col("hits"))
+    return done.select(*[F.col(f"row._row.`{c}`").alias(c) for c in keep], "row.n_words", "row.hits", "row.items", "made.spans")
 
-        return F.aggregate(both, start, add).alias(name)
 
-    fixed = [c for c in before.columns if c not in ("hits", "items", "spans")]
+def _united(after: DataFrame) -> DataFrame:
+    """Hits of two passes over the same texts in one set of disjoint intervals."""
+    def add(done, x):
+        last = F.try_element_at(done, F.lit(-1))
+        joins = last.isNotNull() & (x["first"] <= last["last"] + 1)
+        grown = F.struct(last["first"].alias("first"), F.greatest(last["last"], x["last"]).alias("last"))
+        kept = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(joins, F.concat(kept, F.array(grown))).otherwise(F.concat(done, F.array(x)))
+
+    both = F.sort_array(F.concat("row.hits", "made.hits"))
     return after.select(
-        *[F.col(f"row.`{c}`").alias(c) for c in fixed], union("hits", "first", "last", 1),
-        F.array_sort(F.array_union("row.items", "made.items")).alias("items"), union("spans", "start", "end", 0))
+        "row._row", "row.text", "row.n_words", F.aggregate(both, F.slice(both, 1, 0), add).alias("hits"),
+        F.sort_array(F.array_union("row.items", "made.items")).alias("items"))
 
 
 def contamination(found: DataFrame, keep: list[str]) -> DataFrame:

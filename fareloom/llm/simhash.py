@@ -212,6 +212,7 @@ def near_links(prints: DataFrame, *, budget: int = 2, leaves: int = LEAVES, fore
     """
     if not 0 <= budget <= 2:
         raise ValueError("The four blocks are sure to find links of at most two differing bits.")
+    leaves = max(leaves, 2)  # two nodes of one fingerprint each must fit
     rows = _tries(prints)
     tops = rows.groupBy("trie", "top").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
     tops = materialise(tops, "tops")
