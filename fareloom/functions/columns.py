@@ -29,9 +29,13 @@ def blank_to_null(c: Column | str) -> Column:
 
 
 def number(c: Column | str) -> Column:
-    """Double, with unreadable text and NaN both null."""
-    value = col(c).try_cast("double")
-    return F.when(~F.isnan(value), value)
+    """Double, with unreadable text, NaN and infinity all null."""
+    return finite(col(c).try_cast("double"))
+
+
+def finite(c: Column | str) -> Column:
+    """A double as it is, or null if it is NaN or infinite."""
+    return F.when(~F.isnan(col(c)) & (F.abs(col(c)) != float("inf")), col(c))
 
 
 def day(c: Column | str) -> Column:
@@ -42,6 +46,14 @@ def instant(c: Column | str) -> Column:
     return col(c).try_cast("timestamp")
 
 
+def present(names: list[str]) -> Column:
+    """All named columns have a value. One test per column, which reaches the scan."""
+    test = F.lit(True)
+    for name in names:
+        test = test & F.col(name).isNotNull()
+    return test
+
+
 def positive(c: Column | str) -> Column:
     return F.when(col(c) > 0, col(c))
 

@@ -100,7 +100,7 @@ def normalize_dataset(df: DataFrame) -> DataFrame:
 
 def handle_missing(df: DataFrame) -> DataFrame:
     """Drop rows lacking a critical value; fill duration by its median, stops and lead by 0, currency by default."""
-    kept = df.dropna(subset=[c for c in CRITICAL_COLUMNS if c in df.columns])
+    kept = df.filter(C.present([c for c in CRITICAL_COLUMNS if c in df.columns]))
     if "duration_minutes" in df.columns:
         middle = median(kept, [], "duration_minutes", "m").scalar()
         kept = kept.withColumn("duration_minutes", F.coalesce("duration_minutes", middle))
@@ -117,30 +117,36 @@ def organize_columns(df: DataFrame, add: dict[str, str] | None = None, constants
     return df.select(*first, *[c for c in df.columns if c not in first])
 
 
+# Columns that search and option tables must have, and those without which a row is dropped.
+SEARCH_COLUMNS = ["id", "origin", "destination", "outbound_date", "return_date", "currency", "searched_at"]
+SEARCH_REQUIRED = ["id", "origin", "destination", "outbound_date", "searched_at"]
+OPTION_COLUMNS = [
+    "id", "search_id", "origin", "destination", "outbound_date", "return_date", "price", "currency",
+    "total_duration_minutes", "flight_type", "airline", "stops", "carbon_emissions_kg", "booking_token", "collected_at",
+]
+OPTION_REQUIRED = ["id", "search_id", "origin", "destination", "outbound_date", "price", "airline", "collected_at"]
+
+
 def clean_searches(df: DataFrame) -> DataFrame:
     """Clean search rows, drop incomplete ones and same-airport routes; the latest row of an id wins."""
-    require_columns(df, ["id", "origin", "destination", "outbound_date", "return_date", "currency", "searched_at"],
-                    "search")
+    require_columns(df, SEARCH_COLUMNS, "search")
     df = normalize_text(df, ["origin", "destination", "currency", "request_id"], empty_for_null=False)
     df = coerce_types(df, [], ["outbound_date", "return_date"], ["searched_at"])
     df = df.withColumn("id", C.number("id").cast("long"))
-    df = df.dropna(subset=["id", "origin", "destination", "outbound_date", "searched_at"])
+    df = df.filter(C.present(SEARCH_REQUIRED))
     df = df.withColumns({"origin": F.upper("origin"), "destination": F.upper("destination")})
     return keep_last(df.filter(F.col("origin") != F.col("destination")), ["id"], ["searched_at"])
 
 
 def clean_options(df: DataFrame) -> DataFrame:
     """Clean option rows: texts, codes, types; drop incomplete rows and prices that are not positive."""
-    require_columns(df, ["id", "search_id", "origin", "destination", "outbound_date", "return_date", "price",
-                         "currency", "total_duration_minutes", "flight_type", "airline", "stops",
-                         "carbon_emissions_kg", "booking_token", "collected_at"], "option")
+    require_columns(df, OPTION_COLUMNS, "option")
     df = normalize_text(df, ["origin", "destination", "currency", "flight_type", "airline", "booking_token"],
                         empty_for_null=False)
     df = _apply(df, ["origin", "destination", "currency"], F.upper)
     df = coerce_types(df, ["id", "search_id", "price", "total_duration_minutes", "stops", "carbon_emissions_kg"],
                       ["outbound_date", "return_date"], ["collected_at"])
-    df = df.dropna(subset=["id", "search_id", "origin", "destination", "outbound_date", "price", "airline",
-                           "collected_at"]).filter(F.col("price") > 0)
+    df = df.filter(C.present(OPTION_REQUIRED)).filter(F.col("price") > 0)
     stops = F.when(F.col("stops") >= 0, F.col("stops"))
     return df.withColumns({
         "id": F.col("id").cast("long"),

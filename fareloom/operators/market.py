@@ -14,7 +14,7 @@ def market_features(df: DataFrame, carriers: str = "route_airline_count", counte
     The statistics are aggregated per route and joined back, so wide rows are not moved to their route's task.
     """
     rows = F.count(counted if counted in df.columns else "total_fare")
-    stats = df.dropna(subset=["route"]).groupBy("route").agg(
+    stats = df.filter(C.present(["route"])).groupBy("route").agg(
         F.avg("total_fare").alias("route_average_fare"),
         F.count_distinct("airline").alias(carriers),
         rows.alias("route_observation_count"),

@@ -49,7 +49,8 @@ def weights_table(spark: SparkSession, weights: dict[str, float], strict: bool =
 def _weights(df: DataFrame, weights: DataFrame | dict[str, float] | None) -> DataFrame:
     if isinstance(weights, DataFrame):
         return weights
-    return weights_table(df.sparkSession, weights or fixed.DEFAULT_ROUTE_WEIGHTS)
+    # A table made from a parameter is small, so neither side of its join is shuffled.
+    return F.broadcast(weights_table(df.sparkSession, weights or fixed.DEFAULT_ROUTE_WEIGHTS))
 
 
 def base_period(df: DataFrame) -> DataFrame:
@@ -60,7 +61,7 @@ def base_period(df: DataFrame) -> DataFrame:
 def base_fares(df: DataFrame, base_date=None) -> DataFrame:
     """Mean fare per route on the base date (the earliest travel date unless given)."""
     when = F.lit(base_date).cast("date") if base_date is not None else base_period(df).scalar()
-    data = df.filter(F.col("outbound_date") == when).dropna(subset=["route"])
+    data = df.filter(F.col("outbound_date") == when).filter(C.present(["route"]))
     return data.groupBy("route").agg(F.avg("total_fare").alias("base_fare"))
 
 
@@ -69,13 +70,13 @@ def index_route_daily(df: DataFrame, weights: DataFrame | dict[str, float] | Non
     """Per travel date and route: fare, base fare, index, weight and weighted contribution.
 
     A route without a fare on the base date gets no index and no contribution but keeps its weight. The base fare is
-    read off the daily averages, so observations are aggregated once.
+    read off the daily averages, so observations are aggregated once. Rows come in no order: the daily index sums them up.
     """
     keys = ["outbound_date", "route"]
     if detailed:
         daily = fare_stats(df, keys, names={"observations": "observation_count"})
     else:
-        daily = df.dropna(subset=keys).groupBy(*keys).agg(F.avg("total_fare").alias("average_fare"))
+        daily = df.filter(C.present(keys)).groupBy(*keys).agg(F.avg("total_fare").alias("average_fare"))
     when = F.lit(base_date).cast("date") if base_date is not None else base_period(df).scalar()
     based = daily.withColumn("_base", when).withColumn(
         "base_fare",
@@ -88,7 +89,6 @@ def index_route_daily(df: DataFrame, weights: DataFrame | dict[str, float] | Non
         .withColumn("route_weight", F.coalesce("route_weight", F.lit(0.0)))
         .withColumn("weighted_contribution", F.col("route_index") * F.col("route_weight"))
         .select(*daily.columns, "base_fare", "route_index", "route_weight", "weighted_contribution")
-        .orderBy(*keys)
     )
 
 
@@ -97,7 +97,7 @@ def index_daily(routes: DataFrame, detailed: bool = False, strict_weights: bool
     """Weighted mean of the route indices per travel date, rounded to 2 decimals.
 
     Weights of routes without an index stay in the denominator unless `strict_weights` is set. The default adds the
-    change in percent; `detailed` gives mean route fare and observations instead.
+    change in percent; `detailed` gives mean route fare and observations instead. Rows come in no order.
     """
     weight = F.col("route_weight")
     if strict_weights:
@@ -116,7 +116,7 @@ def index_daily(routes: DataFrame, detailed: bool = False, strict_weights: bool
                          "average_fare", "route_count", "total_observations")
     else:
         out = pct_change(out, index_column, ["outbound_date"], None, f"{index_column}_change_pct")
-    return out.orderBy("outbound_date")
+    return out
 
 
 def _index_period(daily: DataFrame, period: str, key: Column, detailed: bool, index_column: str) -> DataFrame:
@@ -194,7 +194,7 @@ def trend_activity(trend: DataFrame, observations: DataFrame, date_column: str =
 
 def index_latest(daily: DataFrame, date_column: str = "outbound_date", index_column: str = INDEX) -> DataFrame:
     """One row: latest index, the one before, change in percent (0 if there is none) and the range of the series."""
-    rows = daily.dropna(subset=[date_column, index_column]).withColumn(
+    rows = daily.filter(C.present([date_column, index_column])).withColumn(
         "_before", F.lag(index_column).over(W.orderBy(date_column))
     )
     out = rows.agg(

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from fareloom.functions import columns as C
 from fareloom.session import BROADCAST_ROWS, materialise
 
 # Buckets per e-fold of magnitude: neighbouring bucket edges differ by about 13 %. Fewer buckets make the histogram
@@ -39,7 +40,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     """
     rows = (
         df.select(*keys, F.col(value).cast("double").alias("_x"))
-        .filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
+        .withColumn("_x", C.finite("_x"))
+        .filter(F.col("_x").isNotNull())
         .withColumn("_b", _bucket(F.col("_x")))
     )
     over_key = W.partitionBy(*[F.col(k) for k in keys]) if keys else W.partitionBy(F.lit(0))
@@ -99,10 +101,15 @@ def fare_stats(
 ) -> DataFrame:
     """Average, median, extremes and count of the fare per key; rows with a null key are left out.
 
+    NaN and infinite values count as missing in every column of the result.
+
     `distinct` and `means` map an output name to the column counted or averaged. A column the input lacks falls back
     to the fare itself. `names` renames output columns.
     """
-    data = df.dropna(subset=keys)
+    data = df.filter(C.present(keys))
+    kinds = dict(df.dtypes)
+    data = data.withColumns({c: C.finite(c) for c in dict.fromkeys([value, *(means or {}).values()])
+                             if kinds.get(c) in ("double", "float")})
     aggs = [F.avg(value).alias("average_fare")]
     if extremes:
         aggs += [F.min(value).alias("minimum_fare"), F.max(value).alias("maximum_fare")]

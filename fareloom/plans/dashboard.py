@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from fareloom import fixed
+from fareloom.functions import columns as C
 from fareloom.operators import aggregates as agg, price_index as idx, quality, serving
 
 
@@ -14,7 +15,7 @@ def dashboard_bundle(df: DataFrame, index: DataFrame | None = None,
         trend = idx.trend_simple(df, index_column=index_column)
         table = trend.withColumnRenamed("date", "outbound_date")
     else:
-        table = index.dropna(subset=["outbound_date", index_column])
+        table = index.filter(C.present(["outbound_date", index_column]))
         trend = table.selectExpr("outbound_date AS date", index_column).orderBy("date")
     return {
         "summary": quality.fare_summary(df, table, index_column),

@@ -24,7 +24,9 @@ def clean_dataset(df: DataFrame) -> DataFrame:
     # The unique rows are read several times below (medians, quartiles, result), so they are computed once.
     out = materialise(identity.dedup_records(out), "unique")
     out = market.outlier_global_iqr(clean.handle_missing(out))
-    return out.orderBy("collection_timestamp") if "collection_timestamp" in out.columns else out
+    # Rows of one time are ordered by their identity, so that a time with very many rows is split over tasks.
+    order = [c for c in ("collection_timestamp", "record_id", "route", "outbound_date", "airline") if c in out.columns]
+    return out.orderBy(*order) if "collection_timestamp" in out.columns else out
 
 
 def preprocess_dataset(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from fareloom.sources.readers import read_table
 OBSERVATION_KEY = ["collection_date", "route", "outbound_date", "record_id"]
 RAW_KEY = ["year", "month", "day", "route", "outbound_date", "response_hash"]
 SNAPSHOT_KEY = ["collection_date", "route", "outbound_date", "snapshot_hash"]
-MANIFEST_KEY = ["collection_date", "run_id", "route", "outbound_date"]
+MANIFEST_KEY = ["collection_date", "run_id", "search_id", "collection_timestamp", "route", "outbound_date"]
 
 # Stored observations are laid out by month of collection: few enough folders for years of history on many routes.
 LAYOUT = "collection_month"
@@ -33,21 +33,25 @@ def write_dual(df: DataFrame, folder: str, name: str, staged: bool = False) -> b
     if done.isEmpty():
         return False
     done.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
-    _flat(done).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
+    _flat(done).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{folder}/{name}.csv")
     return True
 
 
 def stored_keys(batch: DataFrame, path: str, keys: list[str] | None = None, layout: str = LAYOUT) -> DataFrame:
     """Distinct keys of a stored batch that the table at `path` holds already.
 
-    Only partitions between the batch's first and last `layout` value are read. A batch of checked small size is
-    broadcast against them, so stored rows do not move; a larger one is joined by shuffle.
+    Only partitions with a `layout` value of the batch are read, the one without a value among them. A batch of checked
+    small size is broadcast against them, so stored rows do not move; a larger one is joined by shuffle.
     """
     keys = keys or OBSERVATION_KEY
-    total, low, high = batch.agg(F.count("*"), F.min(layout), F.max(layout)).first()
+    counts = batch.groupBy(layout).agg(F.count("*").alias("n")).collect()  # one row per month of the batch
+    total, months = sum(r["n"] for r in counts), [r[layout] for r in counts if r[layout] is not None]
     wanted = list(dict.fromkeys([*keys, layout]))
     table = read_table(batch.sparkSession, path, batch.select(*wanted).schema)
-    table = table.filter(F.col(layout).between(F.lit(low), F.lit(high))).select(*keys)
+    wanted_part = F.col(layout).isin(months)
+    if len(months) < len(counts):
+        wanted_part = wanted_part | F.col(layout).isNull()
+    table = table.filter(wanted_part).select(*keys)
     asked = batch.select(*keys).distinct()
     if total <= BROADCAST_ROWS:
         asked = F.broadcast(asked)
@@ -99,15 +103,17 @@ def archive_raw(landed: DataFrame, path: str) -> dict[str, int]:
 
 
 def store_snapshots(index: DataFrame, path: str) -> dict[str, int]:
-    """Store index results with a `collection_date` by the hash of their content; equal results are stored once."""
-    plain = [c for c in index.columns if c not in ("collection_date", "calculated_at")]
+    """Store index results with a `collection_date` by the hash of their content; equal results are stored once.
+
+    When and from which response a result was calculated is not part of the content.
+    """
+    apart = ("collection_date", "calculated_at", "search_id", "collection_timestamp")
+    plain = [c for c in index.columns if c not in apart]
     rows = index.withColumn("snapshot_hash", C.sha256_json(plain))
     return append_new(rows, path, SNAPSHOT_KEY)
 
 
 def store_manifest(manifest: DataFrame, path: str, run_id: str) -> dict[str, int]:
-    """Store the rows of one run; a run id that was stored before adds nothing."""
-    rows = manifest.withColumns({
-        "run_id": F.lit(run_id), "run_timestamp": F.current_timestamp(), "collection_date": F.current_date(),
-    })
+    """Store the manifest of landed responses under a run id; a response stored under it before adds nothing."""
+    rows = manifest.withColumns({"run_id": F.lit(run_id), "run_timestamp": F.current_timestamp()})
     return append_new(rows, path, MANIFEST_KEY)

@@ -14,6 +14,7 @@ from fareloom.operators import features as feat
 from fareloom.operators import identity as ident
 from fareloom.operators import joins, market, quality, serving
 from fareloom.operators import price_index as idx
+from fareloom.operators.stats import exact_quantiles
 from fareloom.plans import analytics, dashboard, dataset
 from fareloom.session import fresh_path
 from fareloom.sources import readers, writers
@@ -91,7 +92,7 @@ def sink_dual(s, d):
     writers.write_dual(agg.daily_fare(v.dense(s, d)), folder, "daily_fare")
     writers.write_dual(v.dense(s, d).filter("total_fare < 0"), folder, "nothing")
     back = s.read.parquet(f"{folder}/daily_fare.parquet")
-    text = s.read.schema(back.schema).option("header", True).csv(f"{folder}/daily_fare.csv")
+    text = s.read.schema(back.schema).option("header", True).option("escape", '"').csv(f"{folder}/daily_fare.csv")
     both = back.withColumn("format", F.lit("parquet")).unionByName(text.withColumn("format", F.lit("csv")))
     return both.select("format", "route", "outbound_date", "average_fare", "observations", "fare_change_pct")
 
@@ -325,8 +326,9 @@ def semi_selected_routes(s, d):
 
 def _master(s, d):
     n, r = v.table(s, d, "nation"), v.table(s, d, "region")
-    rows = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).filter("r_regionkey < 3")
-    return rows.groupBy(F.col("r_name").alias("code")).agg(
+    rows = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    code = F.when(F.col("r_regionkey") < 3, F.col("r_name")).otherwise(F.concat(F.lit("X"), "r_name"))  # some codes are unknown
+    return rows.groupBy(code.alias("code")).agg(
         F.min("n_name").alias("city"), F.max("n_name").alias("name"), F.min("n_regionkey").cast("string").alias("state"))
 
 
@@ -441,7 +443,8 @@ def fare_distribution(s, d):
 
 @query
 def fare_distribution_left(s, d):
-    return agg.fare_distribution(v.sparse(s, d).filter("total_fare >= 5000"), "left", keep_empty=True)
+    """Fares moved up, so that the lowest bucket is empty."""
+    return agg.fare_distribution(v.sparse(s, d).withColumn("total_fare", F.col("total_fare") + 5000), "left", keep_empty=True)
 
 
 @query
@@ -878,4 +881,57 @@ def ingest_stream(s, d):
         F.count("*").alias("stored"), F.sum("total_fare").alias("total_fare"))
 
 
+def _ingested(s, d, table):
+    """A table that the stream stores from the landed files in small batches, and from a second run over them."""
+    folder = fresh_path(s, "ingested")
+    for run in range(2):
+        run_ingest(s, v.landed_json(s, d), folder, fresh_path(s, f"progress{run}"), "provider", "engine", 40000.0,
+                   files_per_batch=5, pattern="*.txt", run_id="gate").awaitTermination()
+    return s.read.parquet(f"{folder}/{table}")
+
+
+@query
+def ingest_stream_index(s, d):
+    return _ingested(s, d, "index").select(
+        "route", "outbound_date", "collection_date", "index_value", "base_fare", "average_fare", "median_fare",
+        "minimum_fare", "maximum_fare", "sample_size", "currency", "advance_purchase_days")
+
+
+@query
+def ingest_stream_runs(s, d):
+    return _ingested(s, d, "runs").select(
+        "run_id", "search_id", "route", "outbound_date", "collection_date", "extracted", "duplicates_in_response",
+        "new_records", "skipped_existing", "index_value", "index_generated", "raw_response_uploaded")
+
+
+@query
+def sink_append_undated(s, d):
+    """Rows with missing dates, appended three times."""
+    target, rows = fresh_path(s, "undated"), v.sparse(s, d).select(*writers.OBSERVATION_KEY, "total_fare")
+    rows = rows.withColumn("collection_date", F.when(F.month("collection_date") > 3, F.col("collection_date")))
+    for part in (rows, rows.filter(F.col("collection_date").isNull()), rows):
+        writers.append_new(part, target, order=["total_fare"])
+    return s.read.parquet(target).groupBy("route", F.year("collection_date").alias("year")).agg(
+        F.count("*").alias("stored"), F.sum("total_fare").alias("total_fare"))
+
+
+def _unsound(s, d):
+    """Observations with NaN and infinite fares among the others."""
+    rows = v.sparse(s, d)
+    k = F.col("l_partkey")
+    fare = F.when(k % 17 == 0, float("nan")).when(k % 19 == 0, float("inf")).when(k % 23 == 0, float("-inf"))
+    return rows.withColumn("total_fare", fare.otherwise(F.col("total_fare")))
+
+
+@query
+def unsound_fares(s, d):
+    return agg.route_analysis(_unsound(s, d)).select(
+        "route", "average_fare", "median_fare", "minimum_fare", "maximum_fare", "observations")
+
+
+@query
+def unsound_quartiles(s, d):
+    return exact_quantiles(_unsound(s, d), ["route"], "total_fare", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+
+
 __all__ = ["QUERIES"]

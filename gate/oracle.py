@@ -41,7 +41,7 @@ obs0 AS (
     greatest(outbound_date - CAST(collected_at AS DATE), 0) AS advance_purchase_days,
     isodow(outbound_date) >= 6 AS is_weekend, price > 90000 AS fare_outlier, CAST(id AS VARCHAR) AS record_id,
     total_duration_minutes AS duration_minutes
-  FROM opt WHERE origin <> destination),
+  FROM opt),
 obs AS (
   SELECT *, CASE WHEN advance_purchase_days <= 3 THEN '0-3 days' WHEN advance_purchase_days <= 7 THEN '4-7 days'
       WHEN advance_purchase_days <= 14 THEN '8-14 days' WHEN advance_purchase_days <= 30 THEN '15-30 days'
@@ -56,6 +56,7 @@ dirty AS (
       CASE WHEN l_partkey % 53 = 0 THEN 'n/a' WHEN l_partkey % 50 = 0 THEN CAST(-price AS VARCHAR)
         ELSE CAST(price AS VARCHAR) END AS price,
       CASE WHEN l_partkey % 37 = 0 THEN NULL WHEN l_partkey % 41 = 0 THEN ''
+        WHEN l_partkey % 43 = 0 THEN 'Air "' || airline || '", Ltd'
         WHEN l_suppkey % 3 = 0 THEN '  ' || replace(airline, '#', '   ') || ' ' ELSE airline END AS airline,
       CASE WHEN l_partkey % 59 = 0 THEN 'bad' ELSE CAST(outbound_date AS VARCHAR) END AS outbound_date,
       CASE WHEN l_quantity = 1 THEN -total_duration_minutes ELSE total_duration_minutes END AS total_duration_minutes,
@@ -334,8 +335,8 @@ WHERE route IN (SELECT route FROM obs WHERE outbound_date = (SELECT min(outbound
 ORACLE["semi_selected_routes"] = sql(f"""
 SELECT record_id, route, {r('total_fare')} AS total_fare FROM obs WHERE origin = 'ASIA'""")
 MASTER = """
-master AS (SELECT r_name AS code, min(n_name) AS city, max(n_name) AS name, CAST(min(n_regionkey) AS VARCHAR) AS state
-  FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey < 3 GROUP BY 1)"""
+master AS (SELECT CASE WHEN r_regionkey < 3 THEN r_name ELSE 'X' || r_name END AS code, min(n_name) AS city, max(n_name) AS name, CAST(min(n_regionkey) AS VARCHAR) AS state
+  FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1)"""
 _NAMED = "coalesce(city, code) AS city, coalesce(name, code || ' Airport') AS name, coalesce(state, '—') AS state"
 ORACLE["airport_lookup"] = sql(f"""
 SELECT code, {_NAMED} FROM (SELECT DISTINCT origin AS code FROM obs) LEFT JOIN master USING (code)""", MASTER)
@@ -380,7 +381,7 @@ _LEFT = (("<=5K", 0, 5000), ("5K-7.5K", 5000, 7500), ("7.5K-10K", 7500, 10000),
 _BUCKETS = "b(fare_bucket, low, high) AS (VALUES " + ", ".join(f"('{n}', {a}::DOUBLE, {z}::DOUBLE)" for n, a, z in _LEFT) + ")"
 ORACLE["fare_distribution_left"] = sql("""
 SELECT b.fare_bucket, count(total_fare) AS observations FROM b
-LEFT JOIN obs ON total_fare >= low AND total_fare < high AND total_fare >= 5000 GROUP BY 1""", _BUCKETS)
+LEFT JOIN obs ON total_fare + 5000 >= low AND total_fare + 5000 < high GROUP BY 1""", _BUCKETS)
 ORACLE["index_input"] = sql(f"""
 SELECT outbound_date, route, average_fare AS current_average_fare, median_fare AS current_median_fare, minimum_fare,
   maximum_fare, fare_std, observations AS sample_size, airlines, fare_volatility_pct
@@ -752,3 +753,32 @@ GROUP BY 1, 2""")
 ORACLE["sink_index_snapshot"] = sql("""
 SELECT route, CAST(sum(n) AS BIGINT) AS stored, CAST(sum(n) AS BIGINT) AS hashes FROM (
   SELECT route, CASE WHEN route = 'ASIA-EUROPE' THEN 1 ELSE 2 END AS n FROM flat GROUP BY route, outbound_date) GROUP BY 1""")
+
+ORACLE["ingest_stream_index"] = sql(f"""
+SELECT DISTINCT * FROM (
+  SELECT 'XXX-YYY' AS route, outbound_date, collection_date, {_TWO('avg(total_fare) / 40000.0 * 100')} AS index_value,
+    40000.0::DOUBLE AS base_fare, {', '.join(f'{_TWO(e)} AS {k}' for k, e in FIVE.items())}, count(total_fare) AS sample_size,
+    'INR' AS currency, 5 AS advance_purchase_days
+  FROM flat GROUP BY search_id, outbound_date, collection_date)""")
+ORACLE["ingest_stream_runs"] = sql(f"""
+SELECT 'gate' AS run_id, search_id, 'XXX-YYY' AS route, outbound_date, collection_date, CAST(sum(n) AS BIGINT) AS extracted,
+  CAST(sum(n) - count(*) AS BIGINT) AS duplicates_in_response, count(*) FILTER (nth = 1) AS new_records,
+  count(*) FILTER (nth > 1) AS skipped_existing, {_TWO('sum(fares) / sum(n) / 40000.0 * 100')} AS index_value,
+  true AS index_generated, true AS raw_response_uploaded
+FROM (SELECT *, row_number() OVER (PARTITION BY route, collection_date, outbound_date, airline, flight_numbers,
+        duration_minutes, total_fare ORDER BY search_id) AS nth
+      FROM (SELECT search_id, route, collection_date, outbound_date, airline, flight_numbers, duration_minutes, total_fare,
+              count(*) AS n, sum(total_fare) AS fares FROM flat GROUP BY ALL))
+GROUP BY search_id, outbound_date, collection_date""")
+ORACLE["sink_append_undated"] = sql(f"""
+SELECT route, CAST(year(collection_date) AS INTEGER) AS year, count(*) AS stored, {r('sum(total_fare)')} AS total_fare
+FROM (SELECT CASE WHEN month(collection_date) > 3 THEN collection_date END AS collection_date, route, outbound_date, record_id,
+        min(total_fare) AS total_fare FROM obs GROUP BY ALL)
+GROUP BY 1, 2""")
+UNSOUND = """
+unsound AS (SELECT * REPLACE (CASE WHEN l_partkey % 17 = 0 OR l_partkey % 19 = 0 OR l_partkey % 23 = 0 THEN NULL
+  ELSE total_fare END AS total_fare) FROM obs)"""
+ORACLE["unsound_fares"] = sql(grouped("unsound", ROUTE, FIVE, COUNT), UNSOUND)
+ORACLE["unsound_quartiles"] = sql(f"""
+SELECT route, {', '.join(f"{r(f'quantile_cont(total_fare, {p})')} AS q{k}" for k, p in ((1, 0.25), (2, 0.5), (3, 0.75)))}
+FROM unsound WHERE total_fare IS NOT NULL GROUP BY 1""", UNSOUND)

@@ -89,8 +89,7 @@ def options(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _observations(spark, sf_dir):
-    rows = options(spark, sf_dir).filter(F.col("origin") != F.col("destination"))
-    rows = rows.withColumns({
+    rows = options(spark, sf_dir).withColumns({
         "route": F.concat_ws("-", "origin", "destination"), "total_fare": F.col("price"),
         "stops": F.greatest(F.col("stops"), F.lit(0)), "duration_minutes": F.col("total_duration_minutes"),
         "record_id": F.col("id").cast("string"),
@@ -119,7 +118,8 @@ def _dirty(spark, sf_dir):
     k, s = F.col("l_partkey"), F.col("l_suppkey")
     text = F.when(k % 53 == 0, "n/a").when(k % 50 == 0, (-F.col("price")).cast("string"))
     text = text.otherwise(F.col("price").cast("string"))
-    airline = F.when(k % 37 == 0, None).when(k % 41 == 0, "").when(
+    quoted = F.concat(F.lit('Air "'), F.col("airline"), F.lit('", Ltd'))
+    airline = F.when(k % 37 == 0, None).when(k % 41 == 0, "").when(k % 43 == 0, quoted).when(
         s % 3 == 0, F.concat(F.lit("  "), F.replace("airline", F.lit("#"), F.lit("   ")), F.lit(" ")))
     rows = rows.withColumns({
         "price": text, "airline": airline.otherwise(F.col("airline")),
@@ -201,7 +201,7 @@ def _dirty_searches(spark, sf_dir):
 
 
 def _csv(df):
-    plain = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    plain = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     return lambda path: df.write.options(**plain).csv(path)
 
 

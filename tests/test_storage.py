@@ -1,5 +1,7 @@
 """Readers, writers, whole builds and the stream on small files."""
 import json
+import os
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,9 +127,91 @@ def test_batch_processing_stores_everything_once(spark, tmp_path):
     read = lambda name: spark.read.parquet(f"{folder}/{name}")
     assert read("raw").count() == 3 + 1  # four bodies, all different
     assert read("index").count() == 2
-    runs = sorted(rows(read("runs"), "run_id", "route", "extracted", "new_records", "skipped_existing", "index_value"))
-    assert runs == [("run-1", "BOM-MAA", 1, 1, 0, 100.0), ("run-1", "DEL-MAA", 1, 1, 0, 100.0),
-                    ("run-2", "BOM-MAA", 1, 0, 1, 100.0), ("run-2", "DEL-MAA", 1, 0, 1, 100.0)]
+    assert {r.route for r in read("index").collect()} == {"BOM-MAA"}  # the searched route
+    assert "calculated_at" in read("index").columns
+    runs = sorted(rows(read("runs").orderBy("run_id", "search_id"), "run_id", "search_id", "extracted", "new_records",
+                       "skipped_existing", "index_generated", "raw_response_uploaded"))
+    assert runs == [
+        ("run-1", 1, 1, 1, 0, True, True), ("run-1", 2, 1, 1, 0, True, True), ("run-1", 3, 0, 0, 0, False, True),
+        ("run-1", 4, 0, 0, 0, False, True), ("run-2", 1, 1, 0, 1, True, True), ("run-2", 2, 1, 0, 1, True, True),
+        ("run-2", 3, 0, 0, 0, False, True), ("run-2", 4, 0, 0, 0, False, True)]
+    again = process_batch(_landed(spark), folder, "run-2", "s", "e")
+    assert again["uploaded"] == 0 and read("runs").count() == 8 and read("index").count() == 2
+
+
+def test_intermediate_folders_are_removed(spark, tmp_path):
+    from fareloom.session import shared_folder
+
+    place = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(place.glob("*")) if place.exists() else set()
+    process_batch(_landed(spark), str(tmp_path / "store"), "run", "s", "e")
+    assert set(place.glob("*")) == before
+
+
+def test_stored_tables_do_not_depend_on_batches(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    itinerary = '{"other_flights":[%s]}'
+    flight = '{"price":%d,"flights":[{"airline":"A","departure_airport":{"id":"del"},"arrival_airport":{"id":"bom"}}]}'
+    fares_of = {0: [100, 100, 120], 1: [300], 2: [], 3: [100, 50], 4: [300]}
+    for k, prices in fares_of.items():
+        day = "2024-01-05" if k in (0, 3) else f"2024-01-0{6 + k // 4}"
+        body = itinerary % ",".join(flight % p for p in prices)
+        record = {"search_id": k, "departure_airport": "del", "arrival_airport": "bom", "outbound_date": "2024-02-01",
+                  "currency": "inr", "collected_at": f"{day} 1{k}:00:00", "body": body}
+        (landing / f"{k}.json").write_text(json.dumps(record))
+        os.utime(landing / f"{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))
+    (landing / "9.json").write_text('{"search_id": 9, "body": ')
+    seen = []
+    for files in (1, 3, 10):
+        folder = tmp_path / f"store{files}"
+        for _ in range(2):  # the second time with another checkpoint: everything is there already
+            ingest_stream(spark, str(landing), str(folder), str(tmp_path / f"c{files}-{_}"), "s", "e", base_fare=100.0,
+                          files_per_batch=files, run_id="run").awaitTermination()
+        read = lambda n: spark.read.parquet(f"{folder}/{n}")
+        seen.append((
+            sorted(rows(read("observations"), "collection_date", "record_id", "total_fare")),
+            sorted(rows(read("index"), "collection_date", "route", "outbound_date", "index_value", "sample_size")),
+            sorted(map(repr, rows(read("runs"), "search_id", "collection_date", "route", "extracted", "duplicates_in_response",
+                                  "new_records", "skipped_existing", "index_value", "raw_response_uploaded"))),
+            read("raw").filter("body IS NULL").count(), read("raw").count()))
+    assert seen[0] == seen[1] == seen[2]
+    observations, index, runs, broken, raw = seen[0]
+    assert [x[3] for x in index] == [75.0, 110.0, 300.0, 300.0] and len(runs) == 5 and broken == 0 and raw == 5
+    counts = {r.search_id: (r.extracted, r.duplicates_in_response, r.new_records, r.skipped_existing)
+              for r in spark.read.parquet(str(tmp_path / "store1/runs")).collect()}
+    assert counts == {0: (3, 1, 2, 0), 1: (1, 0, 1, 0), 2: (0, 0, 0, 0), 3: (2, 0, 1, 1), 4: (1, 0, 1, 0)}
+
+
+def test_rejected_files_are_listed(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"search_id": 1}')
+    (tmp_path / "b.json").write_text("{ broken")
+    landed = readers.read_landed(spark, str(tmp_path))
+    assert [r.search_id for r in landed.collect()] == [1]
+    rejects = readers.rejected_files(spark, str(tmp_path), fields=schema.LANDED).collect()
+    assert [(r.file.rsplit("/", 1)[1], r.text) for r in rejects] == [("b.json", "{ broken")]
+
+
+def test_append_without_a_date_is_idempotent(spark, tmp_path):
+    data = [(None, "A-B", None, "r", 1.0), (DAY(2024, 1, 5), "A-B", None, "r", 1.0), (DAY(1970, 1, 1), None, DAY(2024, 1, 9), None, 1.0)]
+    df = spark.createDataFrame(data, "collection_date date, route string, outbound_date date, record_id string, total_fare double")
+    path = str(tmp_path / "t")
+    for uploaded in (3, 0, 0):
+        assert writers.append_new(df, path)["uploaded"] == uploaded
+    assert writers.append_new(df.filter("collection_date IS NULL"), path)["uploaded"] == 0
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_csv_round_trip_of_quotes_breaks_and_arrays(spark, tmp_path):
+    texts = ['Air "X", Ltd', 'a\\b', '"', "two\nlines", "plain", "tab\there"]
+    df = spark.createDataFrame([(i, t, [t, 'q"']) for i, t in enumerate(texts)], "i int, t string, a array<string>")
+    writers.write_dual(df, str(tmp_path), "x")
+    back = readers._csv(spark, str(tmp_path / "x.csv"), multi_line=True)
+    got = {int(r.i): (r.t, r.a) for r in back.collect()}
+    assert {i: t for i, (t, _) in got.items()} == dict(enumerate(texts))
+    assert all(json.loads(a) == [texts[i], 'q"'] for i, (_, a) in got.items())
+    (tmp_path / "o.csv").write_text(OPTIONS.replace("Air Y", '"Air ""X"", Ltd"', 1))
+    assert 'Air "X", Ltd' in [r.airline for r in readers.read_options(spark, str(tmp_path / "o.csv")).collect()]
 
 
 @pytest.mark.parametrize("batch", [1, 10])
