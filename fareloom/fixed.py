@@ -33,10 +33,8 @@ FLIGHTS_DEFAULT_LIMIT = 100
 FLIGHTS_MAX_LIMIT = 1000
 RECENT_ROWS = 15
 TOP_ROUTES = 25
-HIGHLIGHT_ROUTES = 3
 TOP_AIRLINES = 8
 OBSERVATION_PAGE = 15
-AIRPORT_PAGE = 12
 
 # Airport master rows (code, city, name, state).
 AIRPORTS = [

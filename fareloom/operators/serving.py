@@ -20,8 +20,11 @@ def _newest_first(df: DataFrame) -> list[Column]:
 
 
 def flights_query(df: DataFrame, route: str | None = None, airline: str | None = None,
-                  limit: int = fixed.FLIGHTS_DEFAULT_LIMIT, upper_routes: bool = False) -> DataFrame:
-    """Newest observations of a route and carrier, compared without regard to case; limit between 1 and 1000.
+                  limit: int = fixed.FLIGHTS_DEFAULT_LIMIT, upper_routes: bool = False,
+                  most: int | None = fixed.FLIGHTS_MAX_LIMIT) -> DataFrame:
+    """Newest observations of a route and carrier, compared without regard to case.
+
+    `limit` is taken as between 1 and `most`; None for `most` sets no upper end.
 
     `upper_routes` says that stored routes are upper-case, as processed ones are; the scan can then skip by route.
     """
@@ -30,7 +33,7 @@ def flights_query(df: DataFrame, route: str | None = None, airline: str | None =
         df = df.filter(stored == route.upper())
     if _chosen(airline):
         df = df.filter(F.lower("airline") == airline.lower())
-    return df.orderBy(*_newest_first(df)).limit(max(1, min(limit, fixed.FLIGHTS_MAX_LIMIT)))
+    return df.orderBy(*_newest_first(df)).limit(max(1, limit if most is None else min(limit, most)))
 
 
 def recent_flights(df: DataFrame, limit: int = fixed.RECENT_ROWS) -> DataFrame:

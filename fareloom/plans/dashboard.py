@@ -8,9 +8,12 @@ from fareloom.functions import columns as C
 from fareloom.operators import aggregates as agg, price_index as idx, quality, serving
 
 
-def dashboard_bundle(df: DataFrame, index: DataFrame | None = None,
-                     index_column: str = idx.INDEX) -> dict[str, DataFrame]:
-    """All panels over all normalised observations; the trend comes from the index table if there is one."""
+def dashboard_bundle(df: DataFrame, index: DataFrame | None = None, index_column: str = idx.INDEX,
+                     top: int | None = fixed.TOP_ROUTES, recent: int = fixed.RECENT_ROWS) -> dict[str, DataFrame]:
+    """All panels over all normalised observations; the trend comes from the index table if there is one.
+
+    `top` is the number of routes shown, None for all; `recent` the number of newest observations.
+    """
     if index is None:
         trend = idx.trend_simple(df, index_column=index_column)
         table = trend.withColumnRenamed("date", "outbound_date")
@@ -20,12 +23,12 @@ def dashboard_bundle(df: DataFrame, index: DataFrame | None = None,
     return {
         "summary": quality.fare_summary(df, table, index_column),
         "trend": trend,
-        "routes": agg.route_summary(df, detailed=True, top=fixed.TOP_ROUTES),
+        "routes": agg.route_summary(df, detailed=True, top=top),
         "airlines": agg.airline_summary(df),
         "booking_window": agg.booking_window_summary(df),
         "distribution": agg.fare_distribution(df, labels=fixed.FARE_BUCKET_DISPLAY),
         "quality": quality.quality_summary(df),
-        "recent_flights": serving.recent_flights(df),
+        "recent_flights": serving.recent_flights(df, recent),
     }
 
 
