@@ -48,24 +48,22 @@ def as_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def previous_ids(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """For every distinct id: `before`, a struct of the id before it (for the first: the last id) and that id's text
+def previous_keys(docs: DataFrame) -> DataFrame:
+    """For every distinct `k`: `before`, a struct of the key before it (for the first: the last key) and that key's text
     length (the largest, if it has several rows).
 
-    Ids are range-partitioned, each partition looks back within itself, and the partitions' last ids (one row per
+    Keys are range-partitioned, each partition looks back within itself, and the partitions' last keys (one row per
     partition) close the gaps between them.
     """
-    ids = docs.groupBy(F.col(doc_id).alias("id")).agg(F.max(F.char_length(F.coalesce(F.col(text), F.lit("")))).alias("n"))
-    order = F.col("id").asc_nulls_first()
-    placed = materialise(ids.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "ids")
-    ends = placed.groupBy("part").agg(F.max(F.struct(F.col("id").isNotNull().alias("known"), "id", "n")).alias("last"))
+    keys = docs.groupBy("k").agg(F.max(F.char_length("text")).alias("n"))
+    placed = materialise(keys.repartitionByRange("k").withColumn("part", F.spark_partition_id()), "keys")
+    ends = placed.groupBy("part").agg(F.max(F.struct("k", "n")).alias("last"))
     parts = W.partitionBy(F.lit(0)).orderBy("part")
     ends = ends.withColumn("closing", F.coalesce(
         F.lag("last").over(parts), F.last("last").over(parts.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
-    inner = placed.withColumn("look", F.lag(F.struct("id", "n")).over(W.partitionBy("part").orderBy(order)))
-    closing = F.struct(F.col("closing.id").alias("id"), F.col("closing.n").alias("n"))
+    inner = placed.withColumn("look", F.lag(F.struct("k", "n")).over(W.partitionBy("part").orderBy("k")))
     return inner.join(ends.select(F.col("part").alias("p"), "closing"), F.col("part") == F.col("p")).select(
-        "id", F.coalesce("look", closing).alias("before"))
+        F.col("k").alias("own"), F.coalesce("look", "closing").alias("before"))
 
 
 def compare_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", part: int = 4) -> DataFrame:
@@ -73,17 +71,22 @@ def compare_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
     The edited text has its last n / `part` code points replaced by as many first ones of the next document. Columns:
     the id, n_chars, edited (the text), sketch, edited_sketch, next_sketch.
+
+    Texts are shuffled once, by key; the next document's side of the join reads the same exchange, and sends on only as
+    much of each text as is wanted.
     """
-    own = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    marked = with_sketch(own, "text", "sketch")
-    first = marked.withColumn("_r", F.row_number().over(W.partitionBy("id").orderBy(F.xxhash64("text")))).filter("_r = 1")
-    before = previous_ids(own, "id", "text").withColumnRenamed("id", "_id")
-    given = first.join(before, F.col("id").eqNullSafe(F.col("_id"))).select(
-        F.col("before.id").alias("to"), F.substring(F.col("text"), F.lit(1), F.floor(F.col("before.n") / part).cast("int")).alias("lead"),
+    # Within a struct, null is a value like any other, and the smallest.
+    own = docs.select(F.struct(F.col(f"`{doc_id}`").alias("id")).alias("k"),
+                      F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    dealt = with_sketch(own, "text", "sketch").repartition("k")
+    first = dealt.withColumn("_r", F.row_number().over(W.partitionBy("k").orderBy(F.xxhash64("text")))).filter("_r = 1")
+    wanted = F.floor(F.col("before.n") / part).cast("int")
+    given = first.join(previous_keys(own), F.col("k") == F.col("own")).select(
+        F.col("before.k").alias("to"), F.substring(F.col("text"), F.lit(1), wanted).alias("lead"),
         F.col("sketch").alias("next_sketch"))
-    met = marked.join(given, F.col("id").eqNullSafe(F.col("to")))
+    met = dealt.join(given, F.col("k") == F.col("to"))
     n = F.char_length("text")
     cut = F.floor(n / part).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("lead"), F.lit(1), cut))
-    met = met.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", "next_sketch")
-    return with_sketch(met, "edited", "edited_sketch").withColumnRenamed("id", doc_id)
+    met = met.select(F.col("k.id").alias(doc_id), n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", "next_sketch")
+    return with_sketch(met, "edited", "edited_sketch")
