@@ -15,10 +15,12 @@ by a hash of their text; other columns are not written; an empty table makes no
 """
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +31,15 @@ from fareloom.session import materialise
 
 MASK = 0xA282EAD8
 RECORDS_PER_FILE = 20_000
-# Pieces of text whose ids a process remembers, at most, and the longest piece worth remembering.
-MEMO, MEMO_CHARS = 1_000_000, 48
+# Words whose ids a process remembers, at most, and the longest worth remembering.
+MEMO, MEMO_CHARS = 800_000, 48
 
-# Letters that the tokenizer's splitting rule and these patterns surely agree about.
+# Latin letters, about which this module and the tokenizer's splitting rule surely agree, and what may follow a word.
 _L = "A-Za-zÀ-ÖØ-öø-ɏ"
-# The rule never joins letters with what follows, and a space belongs to the letters after it. Only an apostrophe may
-# take letters to its side, so that a run that ends with one stays with the letters behind it.
-_PIECES = re.compile(f" ?[{_L}]+|[^{_L}]*'[{_L}]+|[^{_L}]+?(?= ?[{_L}]|\\Z)")
 _OTHER = re.compile(f"[^\x00-\x7f{_L}]")
+_TAILED = re.compile(f"([{_L}]+)([^{_L}\\s']+)")
+# A space or a line end between other characters starts a token. Beside other white space it may not.
+_LOOSE = [[x for c in codes if chr(c).isspace() for x in (" " + chr(c), "\n" + chr(c))] for codes in (range(128), range(128, 0x3001))]
 
 
 def masked(data: bytes) -> int:
@@ -77,48 +79,104 @@ def unpack(data: bytes) -> tuple[str | None, np.ndarray]:
     return name, np.frombuffer(data, "<u2" if data[at] == 2 else "<u4", offset=at + 1).astype("<u4")
 
 
+@cache
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: bytes that are printable Latin-1 stand for themselves, the others for the characters from
+    256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class Encoder:
-    """Token ids of texts as bytes, by the `tokenizers` library, with a memo of pieces.
+    """Token ids of texts as bytes, by the `tokenizers` library, with a memo of words.
 
-    A text made of ASCII and Latin letters falls into pieces that the tokenizer's own splitting never crosses, so the
-    ids of a text are those of its pieces. Every new piece goes through the library once; texts with other characters
-    or with the text of a special token go through it whole.
+    The tokenizer's own splitting never crosses a line end or a space that has no white space beside it, so the ids of a
+    text are those of its lines and words, a word with the space before it. Every new word goes through the library
+    once: Latin letters as lines of one text, marks behind them by themselves, other words one by one. Texts with loose
+    white space or with the text of a special token go through the library whole.
     """
 
     def __init__(self, file: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(file)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
         self.kind = f"<u{self.width}"
-        self.memo: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        done = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        raw = np.array(done.ids, self.kind).tobytes()
-        words = np.array([-1 if w is None else w for w in done.word_ids])
-        edges = (np.searchsorted(words, np.arange(len(pieces) + 1)) * self.width).tolist()
-        self.memo.update((p, raw[a:b]) for p, a, b in zip(pieces, edges, edges[1:]))
+        self.memo: dict[str, dict[str, bytes]] = {" ": {}, "": {}, "tail": {}}
+        # The splitting rule leaves letters whole, so for them the same model may split at line ends only: that is faster.
+        parts = json.loads(self.tokenizer.to_str())
+        self.lines = None
+        if parts["normalizer"] is None and parts["pre_tokenizer"].get("type") == "ByteLevel":
+            self.lines = Tokenizer.from_file(file)
+            self.lines.pre_tokenizer = pre_tokenizers.Split(byte_letters()[10], "isolated")
+        self.line_end, = self._whole(["\n"])
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in done]
+
+    def _learn_letters(self, words: list[str], before: str) -> None:
+        memo, end = self.memo[before], np.frombuffer(self.line_end, self.kind)[0]
+        for low in range(0, len(words), 300):
+            part = words[low:low + 300]
+            text = (before + f"\n{before}".join(part)).encode().decode("latin-1").translate(byte_letters())
+            ids = np.array(self.lines.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            raw, w = ids.tobytes(), self.width
+            at = (np.concatenate([[-1], np.flatnonzero(ids == end), [len(ids)]]) * w).tolist()
+            memo.update((x, raw[a + w:b]) for x, a, b in zip(part, at, at[1:]))
+
+    def _learn(self, new: set[str], before: str) -> None:
+        """Remember the ids of new words that have `before` (a space or nothing) before them."""
+        memo, tails = self.memo[before], self.memo["tail"]
+        latin = self.lines is not None and not _OTHER.search("".join(new))
+        stems, tailed, others = set(), [], []
+        for word in new:
+            if self.lines is None or not latin and _OTHER.search(word):
+                others.append(word)
+            elif word.isalpha():
+                stems.add(word)
+            elif found := _TAILED.fullmatch(word):
+                tailed.append((word, *found.groups()))
+                if found[1] not in memo:
+                    stems.add(found[1])
+            else:
+                others.append(word)
+        self._learn_letters(list(stems), before)
+        marks = list({tail for _, _, tail in tailed}.difference(tails))
+        tails.update(zip(marks, self._whole(marks)))
+        memo.update((word, memo[stem] + tails[tail]) for word, stem, tail in tailed)
+        memo.update(zip(others, self._whole([before + word for word in others])))
+
+    def _loose(self, text: str) -> bool:
+        """Whether a text has to go through the library whole."""
+        return (text[-1:] == "\n" or any(x in text for x in _LOOSE[0]) or any(x in text for x in self.special)
+                or not text.isascii() and any(x in text for x in _LOOSE[1]))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for low in range(0, len(texts), 256):
-            part = texts[low:low + 256]
-            cut = [None if _OTHER.search(t) or any(s in t for s in self.special) else _PIECES.findall(t) for t in part]
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            memo = self.memo
-            new = {p for pieces in cut if pieces for p in pieces if p not in memo}
-            if new:
-                self._learn(list(new))
-            for text, pieces in zip(part, cut):
-                yield self._whole(text) if pieces is None else b"".join(map(memo.__getitem__, pieces))
-            for p in new:
-                if len(p) > MEMO_CHARS:
-                    del memo[p]
+        spaced, bare = self.memo[" "], self.memo[""]
+        for low in range(0, len(texts), 64):
+            part = texts[low:low + 64]
+            for memo in self.memo.values():
+                if len(memo) > MEMO:
+                    memo.clear()
+            loose = list(map(self._loose, part))
+            split = [[] if x else [line.split(" ") for line in t.split("\n")] for t, x in zip(part, loose)]
+            every = [words for lines in split for words in lines]
+            new = {" ": set().union(*(words[1:] for words in every)).difference(spaced),
+                   "": {words[0] for words in every}.difference(bare)}
+            for before, words in new.items():
+                self._learn(words, before)
+            whole = iter(self._whole([t for t, x in zip(part, loose) if x]))
+            known = spaced.__getitem__
+            for lines, x in zip(split, loose):
+                yield next(whole) if x else self.line_end.join(
+                    [b"".join([bare[words[0]], *map(known, words[1:])]) for words in lines])
+            for before, words in new.items():
+                for word in words:
+                    if len(word) > MEMO_CHARS:
+                        del self.memo[before][word]
 
 
 def write_records(
