@@ -135,6 +135,7 @@ def drop_repeated_lines(
     found = materialise(suspects(docs, text, doc_id, held, min_chars, bits), "suspects")
     repeated = found.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).filter(
         F.col("n") >= min_docs).select("key", "keeper")
+    repeated = materialise(repeated, "repeated")  # on its own, so that the join can split a key that very many hold
     lost = found.join(repeated, "key").filter(~F.col("id").eqNullSafe(F.col("keeper")))
     lost = lost.groupBy(F.col("id").alias("_lost_id")).agg(F.collect_set("key").alias("_lost"))
     kept = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("int")
