@@ -249,6 +249,7 @@ def near_classes(
     ids = linked.groupBy("root").agg(F.min("_least").alias("_class"))
     classes = linked.select("fp", "root").join(ids, "root").select("fp", "_class")
     labels = least.join(classes, "fp", "left").select("fp", F.coalesce("_class", "_least").alias("component_id"))
+    labels = materialise(labels, "labels")  # on its own, so that the join can split a fingerprint that very many share
     return prints.join(labels, "fp").select(F.col("_id").alias(doc_id), "fp", "component_id")
 
 
