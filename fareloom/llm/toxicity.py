@@ -1,17 +1,17 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
 Examples: at most `max_examples` labelled documents, chosen by a seeded hash of their id; equal texts are one example
-with their mean label. Only they are learnt from. A term counts if its share among toxic examples differs from the
-overall share by at least `min_z` standard errors; its weight is (1 + log tf) * idf, and the idf carries that deviation
-as a factor, because with plain idf rare words without any meaning decide who is near. Everything that is not an
-example, and every example too, is scored from its text alone.
+with their mean label. Only they are learnt from. Every term of theirs counts (`min_z` above 0 would drop those whose
+share among toxic examples differs from the overall share by fewer standard errors); its weight is (1 + log tf) * idf,
+and the idf carries that deviation as a factor, at least LEAST_FACTOR, because with plain idf rare words without any
+meaning decide who is near. Everything that is not an example, and every example too, is scored from its text alone.
 
-Index: examples in blocks of 64, similar ones together. A term's postings are one strip of 64 weights per block in which
-it occurs, and the strip's maximum. A query adds up the maxima to a bound per block, and scores blocks from the highest
-bound down until no block left can reach the k-th best similarity. The k nearest are exact; ties go to the example that
-comes first.
+Index: examples in blocks of 64, similar ones together, and the highest weight of every term in every block. A query adds
+up these maxima to a bound per block and scores the blocks with the highest bounds. If few others can still reach the
+k-th best similarity, they are scored too; if many can, the postings of the query's terms are added up for all examples.
+The k nearest are exact either way; ties go to the example that comes first.
 
-Votes are weighted by distance. Leave-one-out votes of the examples give a monotone map from votes to the share of toxic
+Votes are weighted by distance, and the share of toxic examples is one small vote more. Leave-one-out votes of the examples give a monotone map from votes to the share of toxic
 examples, so a score is a probability. Without any term in common the score is the share among examples without terms.
 
 Defined results: null and empty texts have no terms; ids without a label, and null labels, teach nothing; a document
@@ -20,6 +20,7 @@ other columns pass through.
 """
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable
@@ -30,7 +31,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fareloom.llm.common import opened, per_text
 
 MAX_EXAMPLES = 4096
-K, MIN_Z, BLOCK = 15, 2.0, 64
+K, MIN_Z, BLOCK = 15, 0.0, 64
+# Least factor of a term's idf, so that no term is lost.
+LEAST_FACTOR = 0.01
+# Votes that the share of toxic examples has, so that neighbours with hardly anything in common decide little.
+PRIOR_WEIGHT = 0.1
+# Blocks scored first; up to how many blocks in reach are scored by themselves rather than all postings of the terms.
+FIRST, FEW = 1, 6
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -70,51 +77,72 @@ class Model:
                 toxic.update(dict.fromkeys(words, label))
         share, out = float(labels.mean()) if len(labels) else 0.0, {}
         for word, n in every.items():
-            z = (toxic[word] - n * share) / np.sqrt(n * share * (1 - share) + 1)
+            z = (toxic[word] - n * share) / math.sqrt(n * share * (1 - share) + 1)
             if abs(z) >= min_z:
-                out[word] = float(np.log(1 + len(counts) / n) * abs(z))
+                out[word] = float(math.log(1 + len(counts) / n) * max(abs(z), LEAST_FACTOR))
         return out
 
     def _vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers, ascending, and the unit vector's values."""
-        own = sorted((self.place[w], (1 + np.log(c)) * self.weight[w]) for w, c in counts.items() if w in self.place)
+        own = sorted((self.place[w], (1 + math.log(c)) * self.weight[w]) for w, c in counts.items() if w in self.place)
         at, value = np.array([x for x, _ in own], np.int64), np.array([x for _, x in own], np.float64)
         return at, value / np.sqrt((value ** 2).sum()) if len(own) else value
 
     def _index(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        blocks = -(-len(vectors) // BLOCK)
-        strips: dict[tuple[int, int], np.ndarray] = {}
-        for n, (at, value) in enumerate(vectors):
-            for t, v in zip(at.tolist(), value):
-                strips.setdefault((t, n // BLOCK), np.zeros(BLOCK))[n % BLOCK] = v
-        self.strip_of = np.full((len(self.place), blocks), len(strips), np.int64)  # the last strip is empty
-        self.highest = np.zeros((len(self.place), blocks))
-        self.strips = np.zeros((len(strips) + 1, BLOCK))
-        for s, ((t, b), strip) in enumerate(strips.items()):
-            self.strip_of[t, b], self.strips[s], self.highest[t, b] = s, strip, strip.max()
+        """Postings by term and by example, and every term's highest weight in each block."""
+        sizes = [len(at) for at, _ in vectors]
+        self.ends, self.size = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), len(vectors)
+        self.terms = np.concatenate([np.zeros(0, np.int64), *[at for at, _ in vectors]]).astype(np.int32)
+        self.values = np.concatenate([np.zeros(0), *[v for _, v in vectors]])
+        example = np.repeat(np.arange(len(vectors)), sizes)
+        order = np.lexsort((example, self.terms))
+        term, self.posted, self.weights = self.terms[order], example[order], self.values[order]
+        self.posts = np.searchsorted(term, np.arange(len(self.place) + 1))
+        self.highest = np.zeros((len(self.place), -(-len(vectors) // BLOCK)), np.float32)
+        block = self.posted // BLOCK
+        first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))[:len(term)])
+        if len(first):
+            self.highest[term[first], block[first]] = np.maximum.reduceat(self.weights, first)
+
+    def _of_blocks(self, part: list[int], at: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Similarities of all examples, of those outside the given blocks 0."""
+        query, found = np.zeros(len(self.place)), np.zeros(self.size)
+        query[at] = value
+        for b in part:
+            low, high = b * BLOCK, min(self.size, (b + 1) * BLOCK)
+            lo, hi = self.ends[low], self.ends[high]
+            found[low:high] = np.add.reduceat(self.values[lo:hi] * query[self.terms[lo:hi]], self.ends[low:high] - lo)
+        return found
+
+    def _of_all(self, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Similarities of all examples, by the postings of the query's terms."""
+        low, high = self.posts[at], self.posts[at + 1]
+        runs = [slice(x, y) for x, y in zip(low.tolist(), high.tolist())]
+        weight = np.concatenate([self.weights[r] for r in runs]) * np.repeat(value, high - low)
+        return np.bincount(np.concatenate([self.posted[r] for r in runs]), weight, self.size)
 
     def nearest(self, at: np.ndarray, value: np.ndarray, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Examples with a positive similarity and their similarity, the k nearest, nearest first."""
-        if not len(at) or not self.highest.shape[1]:
+        if not len(at) or not self.size:
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = value @ self.highest[at]
-        order = np.argsort(-bound, kind="stable")
-        best, score, low, step = np.zeros(0, np.int64), np.zeros(0), 0, 2
-        while low < len(order):
-            floor = score[-1] if len(score) == self.k else 0.0
-            part = order[low:low + step]
-            part = part[(bound[part] > 0) & (bound[part] >= floor - 1e-9)]
-            if not len(part):
-                break
-            found = np.einsum("t,tbl->bl", value, self.strips[self.strip_of[at][:, part]]).ravel()
-            ids = (part[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            good = found > 0
+
+        def top(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if skip is not None:
-                good &= ids != skip
-            best, score = np.concatenate([best, ids[good]]), np.concatenate([score, found[good]])
-            top = np.lexsort((best, -np.round(score, 12)))[:self.k]
-            best, score = best[top], score[top]
-            low, step = low + step, step * 2
+                found[skip] = 0.0
+            ids = np.flatnonzero(found > 0)
+            if len(ids) > self.k:  # ties of the k-th stay
+                ids = ids[found[ids] >= np.partition(found[ids], -self.k)[-self.k] - 1e-9]
+            ids = ids[np.lexsort((ids, -np.round(found[ids], 12)))[:self.k]]
+            return ids, found[ids]
+
+        bound = value.astype(np.float32) @ self.highest[at] * 1.001  # above what single precision may lose
+        first = np.argsort(-bound, kind="stable")[:FIRST]
+        best, score = top(self._of_blocks(first.tolist(), at, value))
+        floor = score[-1] - 1e-9 if len(score) == self.k else 0.0
+        left = np.flatnonzero((bound > 0) & (bound >= floor))
+        if len(left) > len(first) or not set(left.tolist()) <= set(first.tolist()):
+            few = len(left) <= FEW
+            best, score = top(self._of_blocks(sorted({*left.tolist(), *first.tolist()}), at, value) if few else self._of_all(at, value))
         return best, score
 
     def _vote(self, best: np.ndarray, score: np.ndarray) -> tuple[float, float]:
@@ -122,7 +150,8 @@ class Model:
         if not len(best):
             return float("nan"), 0.0
         weight = score / (1.05 - np.minimum(score, 1.0))
-        return float((weight * self.labels[best]).sum() / weight.sum()), float(len(best))
+        toxic = (weight * self.labels[best]).sum() + PRIOR_WEIGHT * self.prior
+        return float(toxic / (weight.sum() + PRIOR_WEIGHT)), float(len(best))
 
     def _calibrated(self, votes: list[float]) -> tuple[np.ndarray, np.ndarray]:
         """Ascending votes and the pooled shares of toxic examples at them."""

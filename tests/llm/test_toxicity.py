@@ -94,3 +94,23 @@ def test_held_out_accuracy(spark, sf_dir):
     scored = toxicity.score(docs, toxicity.learn(docs, labels), keep=["doc_id"]).join(labels, "doc_id").filter(toxicity.held_out(F.col("doc_id")))
     right, n = scored.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int")), F.count("*")).first()
     assert n > 50 and right >= 0.93
+
+
+def test_every_term_of_the_examples_counts():
+    """Words that say little about the label still make neighbours; they were dropped below two standard errors."""
+    model = toxicity.Model(examples())
+    assert set(model.place) == {w for e in examples() for w in e[2]} and min(model.weight.values()) > 0
+    for name, _, own in examples():
+        assert len(model.score(own)[1]) == toxicity.K
+    one = toxicity.Model([(str(k), 1.0, {f"w{k % 3}": 1}) for k in range(6)])  # no deviation at all
+    assert sorted(x[0] for x in one.score({"w1": 1})[1]) == ["1", "4"]
+
+
+def test_scored_blocks_or_all_postings_are_the_same(monkeypatch):
+    found = []
+    for few in (0, 10 ** 6):
+        monkeypatch.setattr(toxicity, "FEW", few)
+        model = toxicity.Model(examples())
+        found.append([model.nearest(*model._vector(e[2]), skip=n % 9) for n, e in enumerate(examples())])
+    for (a, x), (b, y) in zip(*found):
+        assert a.tolist() == b.tolist() and np.allclose(x, y)
