@@ -98,4 +98,94 @@ SELECT page_id, coalesce(n, 0) AS n_entries, coalesce(lists, '') AS lists, n IS
 FROM pages LEFT JOIN a USING (page_id)
 """
 
-ORACLE = {"op3_url_lists": _OP3, "op9_licenses": _op9(), "op4_warc": _OP4, "op5_line_dedup": _OP5, "op7_decontamination": _OP7}
+_OP11 = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+           FROM documents),
+v AS (SELECT doc_id, k, array_to_string(w[k:k + 12], ' ') AS s
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13)),
+f AS (SELECT s, min(doc_id) AS m FROM v GROUP BY 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS p FROM v JOIN f USING (s) WHERE m < doc_id),
+l AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT l.doc_id, count(*) FILTER (g.p IS NOT NULL) AS n_removed,
+        string_agg(word, ' ' ORDER BY l.p) FILTER (g.p IS NULL) AS kept
+      FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.p = g.p GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || {value} END"
+
+
+def _levels(name: str, key: str, deep: int) -> str:
+    """CTEs {name}1 .. {name}deep from {name}0 (key, i, n nodes, node): the levels of one tree per key. A level of one
+    node ends the tree."""
+    return ",\n".join(f"""{name}{k} AS (SELECT {key}, i // 8 AS i, (n + 7) // 8 AS n,
+       CASE WHEN n = 1 THEN any_value(node) ELSE sha256(string_agg(node, '' ORDER BY i)) END AS node
+       FROM {name}{k - 1} GROUP BY {key}, i // 8, n)""" for k in range(1, deep + 1))
+
+
+def _climb(name: str, key: str, start: str, deep: int) -> str:
+    """CTEs {start}1 .. {start}deep from {start}0 (doc_id, key, i, sides, folded): siblings gathered, digests folded."""
+    return ",\n".join(f"""{start}{k + 1} AS (SELECT a.doc_id, a.{key}, a.i // 8 AS i,
+       a.sides || coalesce(b.l, '') || coalesce(b.r, '') AS sides,
+       CASE WHEN b.n = 1 THEN folded ELSE sha256(coalesce(b.l, '') || folded || coalesce(b.r, '')) END AS folded
+       FROM {start}{k} a JOIN (SELECT {key}, i, n,
+         string_agg(node, '') OVER (PARTITION BY {key}, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l,
+         string_agg(node, '') OVER (PARTITION BY {key}, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r
+         FROM {name}{k}) b ON a.{key} IS NOT DISTINCT FROM b.{key} AND a.i = b.i)""" for k in range(deep))
+
+
+def _op12(deep: int = 8, wide: int = 4) -> str:
+    """For up to 8 ** deep rows per language and 8 ** wide languages."""
+    leaf = " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", "{0}")))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH d AS (SELECT doc_id, lang, sha256({leaf.format('text')}) AS node,
+             CASE WHEN {_CRC32.format('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN sha256({leaf.format(lower)}) END AS other FROM documents),
+t0 AS (SELECT doc_id, lang, node, coalesce(other, node) AS found,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, node) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d),
+{_levels('t', 'lang', deep)},
+s0 AS (SELECT 0 AS top, lang, node, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t{deep}),
+{_levels('s', 'top', wide)},
+c0 AS (SELECT doc_id, lang, i, '' AS sides, found AS folded FROM t0),
+{_climb('t', 'lang', 'c', deep)},
+e0 AS (SELECT c.doc_id, 0 AS top, s.i, c.sides, c.folded FROM c{deep} c JOIN s0 s ON c.lang IS NOT DISTINCT FROM s.lang),
+{_climb('s', 'top', 'e', wide)}
+SELECT doc_id, t0.node AS leaf, t{deep}.node AS subroot, s{wide}.node AS root, sha256(sides) AS proof_sha256,
+       folded AS folded_root, folded = s{wide}.node AS verified
+FROM e{wide} JOIN t0 USING (doc_id) JOIN t{deep} ON t0.lang IS NOT DISTINCT FROM t{deep}.lang CROSS JOIN s{wide}
+"""
+
+
+def _op13(rounds: int = 10, dims: int = 64, k: int = 8) -> str:
+    """Vectors and centroids as one row per component. The last round only assigns."""
+    parts = [f"""
+v AS MATERIALIZED (SELECT vec_id, unnest(embedding) AS x, unnest(range({dims})) AS d FROM embeddings
+       WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+p AS MATERIALIZED (SELECT vec_id, d, CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM v),
+m AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM (SELECT DISTINCT vec_id FROM p)),
+c0 AS MATERIALIZED (SELECT c, d, x FROM p JOIN m USING (vec_id) WHERE c < {k})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""
+a{r} AS MATERIALIZED (SELECT vec_id, min_by(c, (s, c)) AS c, min(s) AS s FROM (
+       SELECT vec_id, c, CAST(sum((p.x - q.x) * (p.x - q.x)) AS BIGINT) AS s FROM p JOIN c{r} q USING (d) GROUP BY 1, 2) GROUP BY 1)""")
+        if r < rounds:
+            parts.append(f"""
+c{r + 1} AS MATERIALIZED (SELECT q.c, q.d, coalesce(y, q.x) AS x FROM c{r} q LEFT JOIN (
+       SELECT c, d, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS y
+       FROM p JOIN a{r} USING (vec_id) GROUP BY 1, 2) z USING (c, d))""")
+    return f"""WITH {",".join(parts)},
+h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY 1)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, s AS distance, CAST(sum(s) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(s) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN h USING (c)
+"""
+
+
+ORACLE = {"op3_url_lists": _OP3, "op9_licenses": _op9(), "op4_warc": _OP4, "op5_line_dedup": _OP5, "op7_decontamination": _OP7,
+          "op11_substring_dedup": _OP11, "op12_merkle": _op12(), "op13_centroids": _op13()}

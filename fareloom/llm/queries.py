@@ -4,9 +4,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fareloom.llm import decontamination, licenses, line_dedup, mixing, simhash, sketches, token_records, toxicity, url_lists, warc
-from fareloom.llm.common import table
-from fareloom.session import fresh_path
+from fareloom.llm import (
+    centroids, decontamination, licenses, line_dedup, merkle, mixing, simhash, sketches, substring_dedup, token_records, toxicity,
+    url_lists, warc,
+)
+from fareloom.llm.common import lower_ascii, table
+from fareloom.session import fresh_path, materialise
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -106,6 +109,31 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = substring_dedup.parse(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return parsed.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merkle.manifest(
+        table(spark, sf_dir, "documents"), fields=["doc_id", "source", "lang", "n_chars", "text"], group="lang", doc_id="doc_id",
+        tampered=F.crc32(F.col("doc_id").cast("string")) % 3 == 0, change="text", to=lower_ascii(F.col("text")))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("siblings")).alias("proof_sha256"),
+                       F.col("folded").alias("folded_root"), "verified")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, final = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    found = materialise(found, "assigned")
+    own = found.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
+    inertia = found.agg(F.sum("distance")).first()[0]
+    names = spark.createDataFrame([(k, ",".join(map(str, c))) for k, c in enumerate(final.tolist())], "cluster int, parts string")
+    named = names.join(own, "cluster").select("cluster", "cluster_inertia", F.sha2("parts", 256).alias("centroid_sha256"))
+    return found.join(F.broadcast(named), "cluster").select(  # one row per centroid
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", F.lit(inertia).cast("long").alias("inertia"),
+        "centroid_sha256")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_fingerprints": op2_fingerprints,
@@ -117,4 +145,7 @@ QUERIES = {
     "op8_token_records": op8_token_records,
     "op9_licenses": op9_licenses,
     "op10_mixing": op10_mixing,
+    "op11_substring_dedup": op11_substring_dedup,
+    "op12_merkle": op12_merkle,
+    "op13_centroids": op13_centroids,
 }
