@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from fareloom import fixed
 from fareloom.functions import columns as C
 from fareloom.operators.aggregates import pct_change
+from fareloom.operators.ordering import with_previous
+from fareloom.operators.rollup import RollUp
 from fareloom.operators.stats import fare_stats
 
 INDEX = "price_index"
@@ -46,11 +48,11 @@ def weights_table(spark: SparkSession, weights: dict[str, float], strict: bool =
     return spark.createDataFrame(rows, "route string, weight double")
 
 
-def _weights(df: DataFrame, weights: DataFrame | dict[str, float] | None) -> DataFrame:
+def _weights(spark: SparkSession, weights: DataFrame | dict[str, float] | None) -> DataFrame:
     if isinstance(weights, DataFrame):
         return weights
     # A table made from a parameter is small, so neither side of its join is shuffled.
-    return F.broadcast(weights_table(df.sparkSession, weights or fixed.DEFAULT_ROUTE_WEIGHTS))
+    return F.broadcast(weights_table(spark, weights or fixed.DEFAULT_ROUTE_WEIGHTS))
 
 
 def base_period(df: DataFrame) -> DataFrame:
@@ -65,19 +67,24 @@ def base_fares(df: DataFrame, base_date=None) -> DataFrame:
     return data.groupBy("route").agg(F.avg("total_fare").alias("base_fare"))
 
 
-def index_route_daily(df: DataFrame, weights: DataFrame | dict[str, float] | None = None, detailed: bool = False,
+def index_route_daily(df: DataFrame | RollUp, weights: DataFrame | dict[str, float] | None = None, detailed: bool = False,
                       base_date=None) -> DataFrame:
     """Per travel date and route: fare, base fare, index, weight and weighted contribution.
 
     A route without a fare on the base date gets no index and no contribution but keeps its weight. The base fare is
     read off the daily averages, so observations are aggregated once. Rows come in no order: the daily index sums them up.
+    A roll-up with the grain serves as well as observations.
     """
     keys = ["outbound_date", "route"]
+    rolled = isinstance(df, RollUp)
     if detailed:
-        daily = fare_stats(df, keys, names={"observations": "observation_count"})
+        count = {"observations": "observation_count"}
+        daily = df.fare_stats(keys, names=count) if rolled else fare_stats(df, keys, names=count)
+    elif rolled:
+        daily = df.fare_stats(keys).select(*keys, "average_fare")
     else:
         daily = df.filter(C.present(keys)).groupBy(*keys).agg(F.avg("total_fare").alias("average_fare"))
-    when = F.lit(base_date).cast("date") if base_date is not None else base_period(df).scalar()
+    when = F.lit(base_date).cast("date") if base_date is not None else base_period(df.parts if rolled else df).scalar()
     based = daily.withColumn("_base", when).withColumn(
         "base_fare",
         F.max(F.when(F.col("outbound_date") == F.col("_base"), F.col("average_fare"))).over(W.partitionBy("route")),
@@ -85,7 +92,7 @@ def index_route_daily(df: DataFrame, weights: DataFrame | dict[str, float] | Non
     return (
         based.drop("_base")
         .withColumn("route_index", C.share("average_fare", "base_fare"))
-        .join(_weights(df, weights).withColumnRenamed("weight", "route_weight"), "route", "left")
+        .join(_weights(daily.sparkSession, weights).withColumnRenamed("weight", "route_weight"), "route", "left")
         .withColumn("route_weight", F.coalesce("route_weight", F.lit(0.0)))
         .withColumn("weighted_contribution", F.col("route_index") * F.col("route_weight"))
         .select(*daily.columns, "base_fare", "route_index", "route_weight", "weighted_contribution")
@@ -144,10 +151,10 @@ def index_monthly(daily: DataFrame, detailed: bool = False, index_column: str =
 
 def index_changes(df: DataFrame, index_column: str = INDEX, order: str = "outbound_date") -> DataFrame:
     """First difference and change in percent of an index with one row per period."""
-    before = F.lag(index_column).over(W.orderBy(order))
-    return df.withColumn("index_change", F.col(index_column) - before).withColumn(
-        "index_change_pct", C.change_pct(index_column, before)
-    )
+    rows = with_previous(df, [order], {"_before": index_column})
+    return rows.withColumn("index_change", F.col(index_column) - F.col("_before")).withColumn(
+        "index_change_pct", C.change_pct(index_column, "_before")
+    ).drop("_before")
 
 
 def index_bundle(df: DataFrame, weights: DataFrame | dict[str, float] | None = None,
@@ -164,13 +171,17 @@ def index_bundle(df: DataFrame, weights: DataFrame | dict[str, float] | None = N
     }
 
 
-def trend_simple(df: DataFrame, date_column: str = "outbound_date", index_column: str = INDEX) -> DataFrame:
+def trend_simple(df: DataFrame | RollUp, date_column: str = "outbound_date", index_column: str = INDEX) -> DataFrame:
     """Unweighted index: mean fare of a date as a percentage of the mean fare of the first date."""
-    daily = (
-        df.select(C.day(date_column).alias("date"), "total_fare").dropna()
-        .groupBy("date").agg(F.avg("total_fare").alias("_fare"))
-    )
-    first = F.first("_fare").over(W.orderBy("date"))
+    if isinstance(df, RollUp):
+        daily = df.fare_stats([date_column]).select(F.col(date_column).alias("date"), F.col("average_fare").alias("_fare"))
+        daily = daily.dropna()
+    else:
+        daily = (
+            df.select(C.day(date_column).alias("date"), "total_fare").dropna()
+            .groupBy("date").agg(F.avg("total_fare").alias("_fare"))
+        )
+    first = daily.select(F.min_by("_fare", "date")).scalar()
     out = daily.withColumn("_base", first).filter(F.col("_base") > 0)
     return out.select("date", C.half_even(C.share("_fare", "_base"), 2).alias(index_column)).orderBy("date")
 

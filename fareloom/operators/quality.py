@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from fareloom import fixed
 from fareloom.functions import columns as C
 from fareloom.operators.price_index import INDEX, index_latest
+from fareloom.operators.rollup import RollUp
 
 
 def _duplicates(df: DataFrame, key: str = "record_id"):
@@ -100,8 +101,9 @@ def status_summary(df: DataFrame, ok: str = "operational") -> DataFrame:
     )
 
 
-def _fare_counts(df: DataFrame) -> DataFrame:
-    combos = _by_group(df, ["route", "airline", "outbound_date"], {
+def _fare_counts(df: DataFrame | RollUp) -> DataFrame:
+    groups = ["route", "airline", "outbound_date"]
+    combos = df.combinations(groups) if isinstance(df, RollUp) else _by_group(df, groups, {
         "n": F.count("*"), "fares": F.count("total_fare"), "total": F.sum("total_fare"),
         "low": F.min("total_fare"), "high": F.max("total_fare"),
         "latest": F.max("collection_timestamp") if "collection_timestamp" in df.columns
@@ -117,11 +119,12 @@ def _fare_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def fare_summary(df: DataFrame, index: DataFrame | None = None, index_column: str = INDEX,
+def fare_summary(df: DataFrame | RollUp, index: DataFrame | None = None, index_column: str = INDEX,
                  rounded: bool = True) -> DataFrame:
     """One row: fares, distinct counts, latest collection, current index and its change.
 
-    Without an index table the index is the unweighted trend of the observations.
+    Without an index table the index is the unweighted trend of the observations. A roll-up needs an index table, and
+    route, carrier and travel date as dimensions.
     """
     if index is None:
         source, when = _unrounded_trend(df, index_column), "date"
@@ -144,7 +147,7 @@ def _unrounded_trend(df: DataFrame, index_column: str) -> DataFrame:
     return daily.select("date", C.share(F.col("_fare"), base).alias(index_column))
 
 
-def national_snapshot(df: DataFrame, daily: DataFrame, routes: DataFrame, index_column: str = INDEX) -> DataFrame:
+def national_snapshot(df: DataFrame | RollUp, daily: DataFrame, routes: DataFrame, index_column: str = INDEX) -> DataFrame:
     """One row: generation time, index and change, fares, counts, dearest and cheapest route."""
     latest = index_latest(daily, "outbound_date", index_column).select(F.struct("*")).scalar()
     change = F.when(latest.getField("previous") != 0, latest.getField("change_pct"))

@@ -1,11 +1,12 @@
 """Query layer: filters, newest-first listings, option lists, search, pages and rankings."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fareloom import fixed
 from fareloom.functions import columns as C
 from fareloom.operators.aggregates import lenient_window
+from fareloom.operators.ordering import numbered, numbered_sums
 from fareloom.session import materialise
 
 
@@ -86,21 +87,26 @@ def paginate(df: DataFrame, page: int, size: int = fixed.OBSERVATION_PAGE,
              time_column: str = "collection_timestamp") -> DataFrame:
     """Rows of one page of the newest-first order, with their `position`; a page past the end means the last one.
 
-    Row counts per minute locate the page, so only the minutes it touches are sorted, however deep it lies.
+    Row counts per minute locate the page, so only the minutes it touches are read again, however deep it lies; their
+    rows are numbered over ranges of the full order, so a minute that holds very many rows is spread over tasks.
     """
     minute = F.date_trunc("minute", time_column)
     counts = materialise(df.groupBy(minute.alias("_m")).agg(F.count("*").alias("_n")), "minutes")
     total = counts.agg(F.sum("_n")).first()[0] or 0
     last = max(1, -(-total // size))
     start = (min(max(page, 1), last) - 1) * size
-    upto = F.sum("_n").over(W.orderBy(F.col("_m").desc_nulls_last()))
-    touched = (
-        counts.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_n"))
-        .filter((F.col("_upto") > start) & (F.col("_before") < start + size)).select("_m", "_before")
-    )
-    rank = F.row_number().over(W.partitionBy("_m").orderBy(*_newest_first(df))) + F.col("_before")
-    rows = df.withColumn("_minute", minute).join(touched, F.col("_minute").eqNullSafe(F.col("_m")))
-    rows = rows.withColumn("position", rank).drop("_minute", "_m", "_before")
+    ordered = numbered_sums(counts, [F.col("_m").desc_nulls_last()], "_n", "_before")
+    touched = ordered.filter((F.col("_before") + F.col("_n") > start) & (F.col("_before") < start + size))
+    moment = F.unix_micros(F.col("_m").cast("timestamp"))
+    low, high, before, undated = touched.agg(
+        F.min(moment), F.max(moment), F.min("_before"), F.count_if(F.col("_m").isNull())).first()
+    when, within = F.col(time_column), F.lit(False)
+    if low is not None:
+        within = (when >= F.timestamp_micros(F.lit(low))) & (when < F.timestamp_micros(F.lit(high + 60_000_000)))
+    if undated:
+        within = within | when.isNull()
+    rows = numbered(df.filter(within), _newest_first(df), "position")
+    rows = rows.withColumn("position", F.col("position") + F.lit((before or 0) + 1))
     return rows.filter((F.col("position") > start) & (F.col("position") <= start + size)).orderBy("position")
 
 
