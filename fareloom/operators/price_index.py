@@ -84,7 +84,14 @@ def index_route_daily(df: DataFrame | RollUp, weights: DataFrame | dict[str, flo
         daily = df.fare_stats(keys).select(*keys, "average_fare")
     else:
         daily = df.filter(C.present(keys)).groupBy(*keys).agg(F.avg("total_fare").alias("average_fare"))
-    when = F.lit(base_date).cast("date") if base_date is not None else base_period(df.parts if rolled else df).scalar()
+    return index_of_daily(daily, weights, base_period(df.parts if rolled else df).scalar() if base_date is None else base_date)
+
+
+def index_of_daily(daily: DataFrame, weights: DataFrame | dict[str, float] | None = None, base_date=None) -> DataFrame:
+    """`index_route_daily` from average fares per travel date and route; the base date is the first unless given."""
+    if base_date is None:
+        base_date = base_period(daily).scalar()
+    when = base_date if isinstance(base_date, Column) else F.lit(base_date).cast("date")
     based = daily.withColumn("_base", when).withColumn(
         "base_fare",
         F.max(F.when(F.col("outbound_date") == F.col("_base"), F.col("average_fare"))).over(W.partitionBy("route")),

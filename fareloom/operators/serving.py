@@ -7,6 +7,7 @@ from fareloom import fixed
 from fareloom.functions import columns as C
 from fareloom.operators.aggregates import lenient_window
 from fareloom.operators.ordering import numbered, numbered_sums
+from fareloom.schema import TRAVEL
 from fareloom.session import materialise
 
 
@@ -20,15 +21,39 @@ def _newest_first(df: DataFrame) -> list[Column]:
     return [F.col("collection_timestamp").desc_nulls_last(), *[F.col(n) for n in plain]]
 
 
+def _travel_months(df: DataFrame, first: str, last: str) -> DataFrame:
+    """Leave out the folders of other months, if the table is laid out by month of travel."""
+    if TRAVEL not in df.columns:
+        return df
+    day = lambda x: F.date_format(F.lit(x).cast("date"), "yyyy-MM")
+    return df.filter(F.col(TRAVEL) == day(first) if first == last else F.col(TRAVEL).between(day(first), day(last)))
+
+
+def lead_range(window: str) -> Column:
+    """The booking lead of a label as a range of days, which reaches the scan; there is no lower bound to the nearest."""
+    if window not in fixed.BOOKING_LABELS:
+        return F.lit(False)
+    k, days = fixed.BOOKING_LABELS.index(window), F.col("advance_purchase_days")
+    held = days.isNotNull()
+    if k:
+        held = held & (days > fixed.BOOKING_EDGES[k])
+    if k + 1 < len(fixed.BOOKING_EDGES):
+        held = held & (days <= fixed.BOOKING_EDGES[k + 1])
+    return held
+
+
 def flights_query(df: DataFrame, route: str | None = None, airline: str | None = None,
                   limit: int = fixed.FLIGHTS_DEFAULT_LIMIT, upper_routes: bool = False,
-                  most: int | None = fixed.FLIGHTS_MAX_LIMIT) -> DataFrame:
+                  most: int | None = fixed.FLIGHTS_MAX_LIMIT, travel: tuple[str, str] | None = None) -> DataFrame:
     """Newest observations of a route and carrier, compared without regard to case.
 
     `limit` is taken as between 1 and `most`; None for `most` sets no upper end.
 
     `upper_routes` says that stored routes are upper-case, as processed ones are; the scan can then skip by route.
+    `travel` limits the travel dates to a first and last one; of a table laid out by month only those folders are read.
     """
+    if travel:
+        df = _travel_months(df, *travel).filter(F.col("outbound_date").between(*[F.lit(x).cast("date") for x in travel]))
     if _chosen(route):
         stored = F.col("route") if upper_routes else F.upper("route")
         df = df.filter(stored == route.upper())
@@ -61,7 +86,8 @@ def filter_observations(df: DataFrame, origin: str | None = None, destination: s
                         airline: str | None = None) -> DataFrame:
     """Rows that meet every given condition; None or ALL leaves a condition out.
 
-    Endpoints are compared on their own columns where the table has them, so that the scan can skip by them.
+    Endpoints are compared on their own columns where the table has them, and a booking lead without a label of its own as
+    a range of days, so that the scan can skip by them. Of a table laid out by month of travel only one folder is read.
     """
     if _chosen(origin):
         df = df.filter((F.col("origin") if "origin" in df.columns else C.route_part("route", 1)) == origin)
@@ -69,9 +95,9 @@ def filter_observations(df: DataFrame, origin: str | None = None, destination: s
         end = F.col("destination") if "destination" in df.columns else C.route_part("route", 2)
         df = df.filter(end == destination)
     if _chosen(travel_date):
-        df = df.filter(F.col("outbound_date") == F.lit(travel_date).cast("date"))
+        df = _travel_months(df, travel_date, travel_date).filter(F.col("outbound_date") == F.lit(travel_date).cast("date"))
     if _chosen(window):
-        df = df.filter(lenient_window(df) == window)
+        df = df.filter(lenient_window(df) == window if "booking_window" in df.columns else lead_range(window))
     if _chosen(airline):
         df = df.filter(F.lower("airline") == airline.lower())
     return df

@@ -9,6 +9,7 @@ from fareloom.functions import columns as C
 from fareloom.operators import aggregates as agg, price_index as idx, quality
 from fareloom.operators.cleaning import normalize_dataset, validate_dataset
 from fareloom.operators.rollup import RollUp
+from fareloom.sources.versions import publish
 from fareloom.sources.writers import write_dual
 
 INDEX_TABLES = ("index_route_daily", "index_daily", "index_weekly", "index_monthly")
@@ -54,10 +55,11 @@ def analytics_tables(df: DataFrame, weights=None, index_column: str = idx.INDEX)
     return tables
 
 
-def run_analytics(df: DataFrame, folder: str, weights=None) -> dict[str, DataFrame]:
+def run_analytics(df: DataFrame, folder: str, weights=None, versioned: bool = False) -> dict[str, DataFrame]:
     """Write every result table as Parquet and CSV, index tables in their own subfolder.
 
     The tables are independent jobs and are submitted side by side, so small ones fill the gaps of large ones.
+    `versioned` publishes them as one version instead (`sources.versions`): readers get all tables of one run or none.
     """
     tables = analytics_tables(df, weights)
 
@@ -65,5 +67,8 @@ def run_analytics(df: DataFrame, folder: str, weights=None) -> dict[str, DataFra
         write_dual(tables[name], f"{folder}/index" if name in INDEX_TABLES else folder, name)
 
     with ThreadPoolExecutor(max_workers=4) as pool:
-        list(pool.map(write, tables))
+        if versioned:
+            publish(df.sparkSession, folder, tables, pool.map)
+        else:
+            list(pool.map(write, tables))
     return tables

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from fareloom.operators import cleaning as clean, features as feat, identity, market
 from fareloom.operators.joins import join_search_metadata
 from fareloom.session import materialise
-from fareloom.sources.writers import write_dual
+from fareloom.sources.writers import write_dual, write_laid_out
 
 # Fields every processed observation has, and their types.
 OPTIONAL_FIELDS = {"base_fare": "double", "taxes_fees": "double", "departure_time": "string", "arrival_time": "string",
@@ -50,8 +50,13 @@ def build_dataset(searches: DataFrame, options: DataFrame, source: str | None =
     return clean.organize_columns(out, OPTIONAL_FIELDS, constants)
 
 
-def write_dataset(df: DataFrame, cleaned_folder: str, processed_folder: str) -> None:
-    """Store the processed observations twice, as the cleaned and as the analytical table; they are computed once."""
+def write_dataset(df: DataFrame, cleaned_folder: str, processed_folder: str, laid_out: str | None = None) -> None:
+    """Store the processed observations twice, as the cleaned and as the analytical table; they are computed once.
+
+    `laid_out` is the path of a third copy for the query layer, by month of travel (`writers.write_laid_out`).
+    """
     done = materialise(df, "observations")
     write_dual(done, cleaned_folder, "observations_cleaned", staged=True)
     write_dual(done, processed_folder, "observations_processed", staged=True)
+    if laid_out:
+        write_laid_out(done, laid_out)

@@ -51,6 +51,10 @@ LANDED = _struct(
 )
 
 
+# Partition column of observations that are laid out by month of travel.
+TRAVEL = "travel_month_key"
+
+
 def require_columns(df: DataFrame, required: list[str], what: str = "input") -> DataFrame:
     """Return `df` unchanged, or raise naming the columns it lacks."""
     missing = sorted(set(required) - set(df.columns))

@@ -68,7 +68,14 @@ def read_landed(spark: SparkSession, path: str, pattern: str = "*.json") -> Data
 def stream_landed(spark: SparkSession, path: str, files_per_batch: int = 1000,
                   pattern: str = "*.json") -> DataFrame:
     """The same as a stream of newly arriving files."""
-    return _sound(_whole(spark.readStream.option("maxFilesPerTrigger", files_per_batch), schema.LANDED, pattern, path))
+    return stream_marked(spark, path, files_per_batch, pattern).filter("text IS NULL").select(*schema.LANDED.names)
+
+
+def stream_marked(spark: SparkSession, path: str, files_per_batch: int = 1000, pattern: str = "*.json") -> DataFrame:
+    """New files as a stream: landed responses, and one row per file that cannot be read, with its `text`, beside the
+    `file` each row is from."""
+    rows = _whole(spark.readStream.option("maxFilesPerTrigger", files_per_batch), schema.LANDED, pattern, path)
+    return rows.select(*schema.LANDED.names, F.col("_metadata.file_path").alias("file"), F.col(_CORRUPT).alias("text"))
 
 
 def read_table(spark: SparkSession, path: str, expected: T.StructType | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from fareloom.functions import columns as C
 from fareloom.operators.identity import keep_first
+from fareloom.schema import TRAVEL
 from fareloom.session import BROADCAST_ROWS, materialise
 from fareloom.sources.readers import read_table
 
@@ -12,13 +13,15 @@ from fareloom.sources.readers import read_table
 OBSERVATION_KEY = ["collection_date", "route", "outbound_date", "record_id"]
 RAW_KEY = ["year", "month", "day", "route", "outbound_date", "response_hash"]
 SNAPSHOT_KEY = ["collection_date", "route", "outbound_date", "snapshot_hash"]
+REJECT_KEY = ["file", "content_hash"]
 MANIFEST_KEY = ["collection_date", "run_id", "search_id", "collection_timestamp", "route", "outbound_date"]
 
 # Stored observations are laid out by month of collection: few enough folders for years of history on many routes.
 LAYOUT = "collection_month"
 
 
-def _flat(df: DataFrame) -> DataFrame:
+def flat(df: DataFrame) -> DataFrame:
+    """Nested columns as JSON, for text formats."""
     nested = (T.ArrayType, T.StructType, T.MapType)
     return df.withColumns({f.name: F.to_json(f.name) for f in df.schema.fields if isinstance(f.dataType, nested)})
 
@@ -33,7 +36,7 @@ def write_dual(df: DataFrame, folder: str, name: str, staged: bool = False) -> b
     if done.isEmpty():
         return False
     done.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
-    _flat(done).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{folder}/{name}.csv")
+    flat(done).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{folder}/{name}.csv")
     return True
 
 
@@ -65,6 +68,29 @@ def _same(keys: list[str], prefix: str):
     return match
 
 
+def write_laid_out(df: DataFrame, path: str, cluster: tuple[str, ...] = ("route", "advance_purchase_days", "airline")) -> None:
+    """Store observations by month of travel, files clustered on several columns, so that filters skip what they can.
+
+    Readers get the month as a partition column, with which `filter_observations` and its siblings leave out whole
+    folders; within a file, row groups have narrow ranges of the clustering columns. A month with very many rows is split
+    over tasks, and small months share one.
+    """
+    rows = df.withColumn(TRAVEL, C.month_key("outbound_date"))
+    order = [c for c in cluster if c in rows.columns]
+    rows = rows.hint("rebalance", F.col(TRAVEL)).sortWithinPartitions(TRAVEL, *order)
+    rows.write.mode("overwrite").partitionBy(TRAVEL).parquet(path)
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Store a table in the session catalog, bucketed and sorted by a key, and read it back.
+
+    Two tables with the same key type and number of buckets join on the key without an exchange. A bucket is one task's
+    work, so a key that holds most of the rows should not be the bucketing key.
+    """
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def with_layout(df: DataFrame) -> DataFrame:
     return df if LAYOUT in df.columns else df.withColumn(LAYOUT, C.month_key("collection_date"))
 
@@ -117,3 +143,14 @@ def store_manifest(manifest: DataFrame, path: str, run_id: str) -> dict[str, int
     """Store the manifest of landed responses under a run id; a response stored under it before adds nothing."""
     rows = manifest.withColumns({"run_id": F.lit(run_id), "run_timestamp": F.current_timestamp()})
     return append_new(rows, path, MANIFEST_KEY)
+
+
+def store_rejects(rejects: DataFrame, path: str, run_id: str) -> dict[str, int]:
+    """Store files that cannot be read (columns file, text) once per file and content, with the run that met them first.
+
+    They are spread over 16 folders by their hash.
+    """
+    digest = F.sha2("text", 256)
+    rows = rejects.select("file", "text", digest.alias("content_hash"), F.substring(digest, 1, 1).alias("shard"),
+                          F.lit(run_id).alias("run_id"), F.current_timestamp().alias("rejected_at"))
+    return append_new(rows, path, REJECT_KEY, layout="shard")

@@ -15,10 +15,11 @@ from fareloom.operators import identity as ident
 from fareloom.operators import joins, market, quality, serving
 from fareloom.operators import price_index as idx
 from fareloom.operators.stats import exact_quantiles
-from fareloom.plans import analytics, dashboard, dataset
+from fareloom.plans import analytics, dashboard, dataset, incremental
+from fareloom.schema import TRAVEL
 from fareloom.session import fresh_path
-from fareloom.sources import readers, writers
-from fareloom.streaming.ingest import ingest_stream as run_ingest
+from fareloom.sources import readers, versions, writers
+from fareloom.streaming.ingest import ingest_stream as run_ingest, run_summary
 from gate import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -307,8 +308,14 @@ def index_snapshot_hash(s, d):
 
 @query
 def join_search_metadata(s, d):
-    found = v.searches(s, d).filter(F.col("origin") != F.col("destination"))
-    return joins.join_search_metadata(found, v.options(s, d)).select(
+    return joins.join_search_metadata(v.searches(s, d), v.options(s, d)).select(
+        "id", "search_id", "search_currency", "search_timestamp", "search_request_id")
+
+
+@query
+def join_search_metadata_bucketed(s, d):
+    """The same join of two tables that are stored by search id."""
+    return joins.join_search_metadata(*v.bucketed(s, d)).select(
         "id", "search_id", "search_currency", "search_timestamp", "search_request_id")
 
 
@@ -509,6 +516,18 @@ def run_manifest(s, d):
     return col.run_manifest(rows, before, index)
 
 
+@query
+def run_manifest_gaps(s, d):
+    """Records without a route, a travel date or a collection date among the others."""
+    k = F.col("l_partkey")
+    rows = v.sparse(s, d).select(*writers.OBSERVATION_KEY, "total_fare", "l_partkey").withColumns({
+        "route": F.when(k % 11 != 0, F.col("route")), "collection_date": F.when(k % 13 != 0, F.col("collection_date")),
+        "outbound_date": F.when(k % 7 != 0, F.trunc("outbound_date", "year"))}).drop("l_partkey")
+    before = rows.filter("collection_date < '1995-01-01' OR collection_date IS NULL")
+    index = rows.groupBy("route", "outbound_date").agg(F.avg("total_fare").alias("index_value"))
+    return col.run_manifest(rows, before, index.filter("route IS NULL OR outbound_date > '1994-06-01'"))
+
+
 @query
 def run_totals(s, d):
     rows = v.sparse(s, d).select(*writers.OBSERVATION_KEY)
@@ -752,6 +771,23 @@ def _cells(s, d):
     return v.sparse(s, d).select(*_LISTED, "advance_purchase_days", "fare_outlier")
 
 
+@query
+def filter_observations_laid_out(s, d):
+    """Observations of one travel date, and of one carrier and booking lead, from the table laid out by month."""
+    rows = v.laid_out(s, d)
+    day = serving.filter_observations(rows, travel_date="1995-03-14").withColumn("asked", F.lit("day"))
+    lead = serving.filter_observations(rows, window="15-30 days", airline="BRAND#12").withColumn("asked", F.lit("lead"))
+    return day.unionByName(lead).select("asked", *_LISTED)
+
+
+@query
+def flights_query_laid_out(s, d):
+    """The newest observations of one route that travel within two months."""
+    rows = v.laid_out(s, d).select(*_LISTED, TRAVEL)
+    found = serving.flights_query(rows, "asia-europe", limit=40, upper_routes=True, travel=("1995-02-10", "1995-03-20"))
+    return found.select(*_LISTED)
+
+
 @query
 def filtered_dashboard(s, d):
     return _sectioned(_PANELS, dashboard.filtered_dashboard(_cells(s, d), **_CONDITIONS))
@@ -855,6 +891,24 @@ def run_analytics(s, d):
     }, made)
 
 
+@query
+def sink_published(s, d):
+    """Result tables published twice; between the two a run breaks off, and readers follow the first version then."""
+    folder, rows = fresh_path(s, "published"), v.dense(s, d)
+    analytics.run_analytics(rows.filter("route = 'ASIA-EUROPE'"), folder, v.WEIGHTS, versioned=True)
+    first = versions.current(s, folder)
+    broken = rows.select(F.when(F.col("total_fare") > 0, F.raise_error(F.lit("broken off")).cast("int")).alias("x"))
+    try:
+        versions.publish(s, folder, {"route_analysis": agg.route_analysis(rows), "broken": broken})
+    except Exception:  # the run that is meant to fail
+        pass
+    between = versions.read_published(s, folder, "route_analysis").withColumn("seen", F.lit("between"))
+    assert versions.current(s, folder) == first
+    analytics.run_analytics(rows, folder, v.WEIGHTS, versioned=True)
+    after = versions.read_published(s, folder, "route_analysis").withColumn("seen", F.lit("after"))
+    return between.unionByName(after).select("seen", "route", "average_fare", "median_fare", "observations")
+
+
 @query
 def sink_index_snapshot(s, d):
     """The same index results stored twice, then all but those of one route with other values."""
@@ -904,6 +958,32 @@ def ingest_stream_runs(s, d):
         "new_records", "skipped_existing", "index_value", "index_generated", "raw_response_uploaded")
 
 
+@query
+def ingest_stream_rejects(s, d):
+    """Broken files among the landed ones, met by two runs: files with every fifth search cut off in the middle."""
+    folder = fresh_path(s, "ingested")
+    for run in range(2):
+        run_ingest(s, v.damaged_json(s, d), folder, fresh_path(s, f"progress{run}"), "provider", "engine", 40000.0,
+                   files_per_batch=25, pattern="*.txt", run_id=f"run {run}").awaitTermination()
+    return run_summary(s, folder)
+
+
+@query
+def ingest_results(s, d):
+    """Result tables brought up to date after every small batch of landed files, then after late ones, which repeat some."""
+    folder = fresh_path(s, "ingested")
+    for run in range(2):
+        run_ingest(s, v.landed_json(s, d), folder, fresh_path(s, f"progress{run}"), "provider", "engine", files_per_batch=12,
+                   pattern="*.txt", results=f"{folder}/results").awaitTermination()
+    made = incremental.results(s, f"{folder}/results", v.WEIGHTS)
+    return _sectioned({
+        "daily_fare": ("concat(outbound_date, '/', route)", "airlines", "median_fare"),
+        "monthly_fare": ("concat(month, '/', route)", "observations", "monthly_fare_change_pct"),
+        "index_route_daily": ("concat(outbound_date, '/', route)", "0", "weighted_contribution"),
+        "index_daily": ("outbound_date", "route_count", "price_index"),
+    }, made)
+
+
 @query
 def sink_append_undated(s, d):
     """Rows with missing dates, appended three times."""

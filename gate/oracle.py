@@ -328,7 +328,8 @@ FROM (SELECT route, outbound_date, count(*) AS sample_size FROM dense GROUP BY 1
 ORACLE["join_search_metadata"] = sql(f"""
 SELECT opt.id, search_id, CASE WHEN search.id IS NOT NULL THEN 'INR' END AS search_currency,
   {stamp('searched_at')} AS search_timestamp, request_id AS search_request_id
-FROM opt LEFT JOIN search ON search_id = search.id AND search.origin <> search.destination""")
+FROM opt LEFT JOIN search ON search_id = search.id""")
+ORACLE["join_search_metadata_bucketed"] = ORACLE["join_search_metadata"]
 ORACLE["semi_base_routes"] = sql(f"""
 SELECT record_id, route, {r('total_fare')} AS total_fare FROM obs
 WHERE route IN (SELECT route FROM obs WHERE outbound_date = (SELECT min(outbound_date) FROM obs))""")
@@ -466,6 +467,19 @@ _SUMS = ("extracted", "duplicates_in_response", "new_records", "skipped_existing
 ORACLE["run_totals"] = sql(
     "SELECT count(*) AS total_searches, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS total_{c}" for c in _SUMS)
     + " FROM manifest", _manifest("outbound_date"))
+ORACLE["run_manifest_gaps"] = sql(f"""
+SELECT a.route, a.outbound_date, extracted, duplicates_in_response, new_records, skipped_existing,
+  CASE WHEN a.route IS NULL OR a.outbound_date > DATE '1994-06-01' THEN {r('fare')} END AS index_value,
+  coalesce(a.route IS NULL OR a.outbound_date > DATE '1994-06-01', false) AS index_generated
+FROM (SELECT route, outbound_date, count(*) AS extracted, count(*) - count(DISTINCT record_id) AS duplicates_in_response,
+        avg(total_fare) AS fare FROM gaps GROUP BY 1, 2) a
+JOIN (SELECT route, outbound_date, count(*) FILTER (NOT old) AS new_records, count(*) FILTER (old) AS skipped_existing
+      FROM (SELECT DISTINCT route, outbound_date, collection_date, record_id,
+              collection_date IS NULL OR collection_date < DATE '1995-01-01' AS old FROM gaps) GROUP BY 1, 2) b
+  ON a.route IS NOT DISTINCT FROM b.route AND a.outbound_date IS NOT DISTINCT FROM b.outbound_date""", """
+gaps AS (SELECT CASE WHEN l_partkey % 11 <> 0 THEN route END AS route, record_id, total_fare,
+  CASE WHEN l_partkey % 13 <> 0 THEN collection_date END AS collection_date,
+  CASE WHEN l_partkey % 7 <> 0 THEN CAST(date_trunc('year', outbound_date) AS DATE) END AS outbound_date FROM obs)""")
 ENDS = """
 byroute AS (SELECT route, avg(total_fare) AS fare FROM obs GROUP BY 1),
 ends AS (SELECT split_part(route, '-', 1) AS code, 'o' AS role, * FROM byroute
@@ -628,6 +642,12 @@ SELECT DISTINCT 'origin', origin FROM obs UNION ALL
 SELECT DISTINCT 'destination', destination FROM obs WHERE origin = 'ASIA'""")
 _MATCH = "origin = 'ASIA' AND booking_window = '15-30 days' AND airline = 'Brand#12'"
 ORACLE["filter_observations"] = sql(f"SELECT {_LISTED} FROM obs WHERE {_MATCH}")
+ORACLE["filter_observations_laid_out"] = sql(f"""
+SELECT 'day' AS asked, {_LISTED} FROM obs WHERE outbound_date = DATE '1995-03-14'
+UNION ALL SELECT 'lead', {_LISTED} FROM obs WHERE booking_window = '15-30 days' AND airline = 'Brand#12'""")
+ORACLE["flights_query_laid_out"] = sql(f"""
+SELECT {_LISTED} FROM (SELECT * FROM obs WHERE route = 'ASIA-EUROPE'
+  AND outbound_date BETWEEN DATE '1995-02-10' AND DATE '1995-03-20' ORDER BY {_NEWEST} LIMIT 40)""")
 _KEYED = "routes || '/' || airlines || '/' || travel_dates"
 _DISPLAY = ("<= ₹5K", "₹5K–7.5K", "₹7.5K–10K", "₹10K–15K", "₹15K–25K", "₹25K–50K", "₹50K+")
 _SHOWN = "shown(fare_bucket, display) AS (VALUES " + ", ".join(
@@ -750,6 +770,28 @@ ORACLE["ingest_stream"] = sql(f"""
 SELECT route, CAST(month(collection_date) AS INTEGER) AS month, count(*) AS stored, {r('sum(total_fare)')} AS total_fare
 FROM (SELECT DISTINCT route, collection_date, outbound_date, airline, flight_numbers, duration_minutes, total_fare FROM flat)
 GROUP BY 1, 2""")
+_STORED = """
+stored AS (SELECT DISTINCT route, collection_date, outbound_date, airline, flight_numbers, duration_minutes, total_fare FROM flat)"""
+ORACLE["ingest_results"] = sql(sections(
+    _fare_section("daily_fare", "stored", ["outbound_date", "route"], "count(DISTINCT airline)", "median(total_fare)"),
+    _fare_section("monthly_fare", "stored", [_MONTH, "route"], "count(*)", CHANGE.format(_MONTH)),
+    section("index_route_daily", "ri", _DATED, "0", "weighted_contribution"),
+    section("index_daily", "di", "outbound_date", "route_count", "price_index"),
+), _STORED, index("stored"))
+ORACLE["ingest_stream_rejects"] = sql(f"""
+SELECT 'run ' || run AS run_id, count(*) AS total_searches, CAST(sum(extracted) AS BIGINT) AS total_extracted,
+  CAST(sum(repeats) AS BIGINT) AS total_duplicates_in_response, CAST(sum(CASE WHEN run = 0 THEN fresh ELSE 0 END) AS BIGINT) AS total_new_records,
+  CAST(sum(CASE WHEN run = 0 THEN known - fresh ELSE known END) AS BIGINT) AS total_skipped_existing,
+  CASE WHEN run = 0 THEN (SELECT count(DISTINCT search_id // 1000) FROM flat WHERE search_id // 1000 % 5 = 2) ELSE 0 END AS rejected_files
+FROM (SELECT search_id, sum(n) AS extracted, sum(n) - count(*) AS repeats, count(*) FILTER (nth = 1) AS fresh, count(*) AS known
+      FROM (SELECT *, row_number() OVER (PARTITION BY route, collection_date, outbound_date, airline, flight_numbers,
+              duration_minutes, total_fare ORDER BY search_id) AS nth
+            FROM (SELECT search_id, route, collection_date, outbound_date, airline, flight_numbers, duration_minutes, total_fare,
+                    count(*) AS n FROM flat WHERE search_id // 1000 % 5 <> 2 GROUP BY ALL)) GROUP BY 1), range(2) AS t(run)
+GROUP BY run""")
+ORACLE["sink_published"] = sql(f"""
+SELECT 'after' AS seen, * FROM ({grouped('dense', ROUTE, {k: FIVE[k] for k in ('average_fare', 'median_fare')}, COUNT)})
+UNION ALL SELECT 'between', * FROM ({grouped('dense', ROUTE, {k: FIVE[k] for k in ('average_fare', 'median_fare')}, COUNT, where="route = 'ASIA-EUROPE'")})""")
 ORACLE["sink_index_snapshot"] = sql("""
 SELECT route, CAST(sum(n) AS BIGINT) AS stored, CAST(sum(n) AS BIGINT) AS hashes FROM (
   SELECT route, CASE WHEN route = 'ASIA-EUROPE' THEN 1 ELSE 2 END AS n FROM flat GROUP BY route, outbound_date) GROUP BY 1""")

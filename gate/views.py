@@ -1,13 +1,18 @@
 """The driver's tables seen as searches, options, observations and landed responses."""
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fareloom import schema
 from fareloom.operators import features as feat
 from fareloom.session import fresh_path
+from fareloom.sources.writers import write_bucketed, write_laid_out
 from fareloom.streaming.ingest import observations_from
 
+# Buckets of the tables stored by search id.
+BUCKETS = 16
 _written: dict[tuple[str, str, str], str] = {}
 
 
@@ -103,6 +108,23 @@ def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "sparse", lambda: _observations(spark, sf_dir))
 
 
+def laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observations laid out by month of travel."""
+    path = written_path(spark, sf_dir, "laid_out", lambda p: write_laid_out(sparse(spark, sf_dir), p))
+    return spark.read.parquet(path)
+
+
+def bucketed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Searches and options as tables of the session catalog, stored by search id."""
+    names = []
+    for kind, key, make in (("searches", "id", searches), ("options", "search_id", options)):
+        name = f"{kind}_{zlib.crc32(sf_dir.encode()):08x}"
+        if not spark.catalog.tableExists(name):
+            write_bucketed(make(spark, sf_dir), name, fresh_path(spark, name), key, BUCKETS)
+        names.append(name)
+    return spark.table(names[0]), spark.table(names[1])
+
+
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations with travel dates moved to the first of the month, so that date groups are large."""
     return sparse(spark, sf_dir).withColumn("outbound_date", F.trunc("outbound_date", "month"))
@@ -234,3 +256,11 @@ def landed_json(spark: SparkSession, sf_dir: str) -> str:
     """Path of the landed responses as JSON documents."""
     rows = landed(spark, sf_dir)
     return written_path(spark, sf_dir, "landed_json", lambda p: _as_documents(rows, F.floor(F.col("search_id") / 2000))(p))
+
+
+def damaged_json(spark: SparkSession, sf_dir: str) -> str:
+    """Path of the landed responses as JSON documents of 1,000 searches, every fifth document cut off."""
+    rows = landed(spark, sf_dir)
+    lists = rows.groupBy(F.floor(F.col("search_id") / 1000).alias("part")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    cut = F.when(F.col("part") % 5 == 2, F.expr("left(value, cast(length(value) / 2 as int))")).otherwise(F.col("value"))
+    return written_path(spark, sf_dir, "damaged_json", lambda p: lists.withColumn("value", cut).write.partitionBy("part").text(p))
