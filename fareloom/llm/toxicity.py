@@ -1,18 +1,18 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
 Examples: at most `max_examples` labelled documents, chosen by a seeded hash of their id; equal texts are one example
-with their mean label. Only they are learnt from. Every term of theirs counts (`min_z` above 0 would drop those whose
-share among toxic examples differs from the overall share by fewer standard errors); its weight is (1 + log tf) * idf,
-and the idf carries that deviation as a factor, at least LEAST_FACTOR, because with plain idf rare words without any
-meaning decide who is near. Everything that is not an example, and every example too, is scored from its text alone.
+with their mean label. Only they are learnt from. Every term of theirs counts; its weight is (1 + log tf) * idf, and the idf
+carries a factor that grows with the deviation of the term's toxic share: terms within some three standard errors hardly
+count, because with plain idf rare words without any meaning decide who is near. Everything that is not an example, and
+every example too, is scored from its text alone.
 
-Index: examples in blocks of 64, similar ones together, and the highest weight of every term in every block. A query adds
-up these maxima to a bound per block and scores the blocks with the highest bounds. If few others can still reach the
-k-th best similarity, they are scored too; if many can, the postings of the query's terms are added up for all examples.
-The k nearest are exact either way; ties go to the example that comes first.
+Index: postings by term, examples in blocks of 16, similar ones together, and the highest weight of every term in every
+block that holds it. A query reads the postings of its heaviest terms, which gives a floor for the k-th similarity; of its
+other terms it reads the blocks' maxima only. Examples whose sum and block bound stay below the floor are never scored.
+The k nearest are exact; ties go to the example that comes first.
 
-Votes are weighted by distance, and the share of toxic examples is one small vote more. Leave-one-out votes of the examples give a monotone map from votes to the share of toxic
-examples, so a score is a probability. Without any term in common the score is the share among examples without terms.
+Votes are weighted by distance, and the share of toxic examples is one small vote more. Leave-one-out votes of the
+examples give a monotone map from votes to the share of toxic examples, so a score is a probability. Without any term in common the score is the share among examples without terms.
 
 Defined results: null and empty texts have no terms; ids without a label, and null labels, teach nothing; a document
 labelled more than once has its mean label; without examples every score is 0; the held-out fifth is never an example;
@@ -20,10 +20,10 @@ other columns pass through.
 """
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -31,13 +31,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fareloom.llm.common import opened, per_text
 
 MAX_EXAMPLES = 4096
-K, MIN_Z, BLOCK = 15, 0.0, 64
-# Least factor of a term's idf, so that no term is lost.
-LEAST_FACTOR = 0.01
+K, BLOCK = 15, 16
+# Least factor of a term's idf, so that no term is lost, and the deviation in standard errors from which terms count fully.
+LEAST_FACTOR, FULL_Z = 0.01, 3.0
 # Votes that the share of toxic examples has, so that neighbours with hardly anything in common decide little.
 PRIOR_WEIGHT = 0.1
-# Blocks scored first; up to how many blocks in reach are scored by themselves rather than all postings of the terms.
-FIRST, FEW = 1, 6
+# Share of a text's score bound that the terms left to the block maxima may have together.
+REST = 0.05
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -53,97 +53,124 @@ def held_out(doc_id: Column) -> Column:
 class Model:
     """Vocabulary, block-max index, neighbours and calibration, made from (name, label, term counts)."""
 
-    def __init__(self, examples: Iterable[tuple[str, float, dict[str, int]]], k: int = K, min_z: float = MIN_Z):
-        found = sorted(examples, key=lambda e: e[0])
-        self.k, labels = k, np.array([e[1] for e in found], float)
+    def __init__(self, examples: Iterable[tuple[str, float, dict[str, int]]], k: int = K):
+        self.k, self.place = k, {}
+        found, sizes, at, counts = [], [], [], []
+        for name, label, words in sorted(examples, key=lambda e: e[0]):
+            found.append((name, label))
+            sizes.append(len(words))
+            at.append(np.fromiter((self.place.setdefault(w, len(self.place)) for w in words), np.int32, len(words)))
+            counts.append(np.fromiter(words.values(), np.int32, len(words)))
+        labels = np.array([y for _, y in found], float)
         self.prior = float(labels.mean()) if len(found) else 0.0
-        self.weight = self._weights([e[2] for e in found], labels, min_z)
-        self.place = {w: i for i, w in enumerate(sorted(self.weight))}
-        vectors = [self._vector(e[2]) for e in found]
-        lead = [int(at[np.argmax(v)]) if len(at) else -1 for at, v in vectors]
-        used = sorted((i for i in range(len(found)) if lead[i] >= 0), key=lambda i: (lead[i], labels[i], found[i][0]))
+        self.factor = self._factors(at, labels)
+        vectors = [self._unit(a, c) for a, c in zip(at, counts)]
+        lead = [int(a[np.argmax(v)]) if len(a) else -1 for a, v in vectors]
+        second = [int(a[np.argsort(v)[-2]]) if len(a) > 1 else -1 for a, v in vectors]
+        used = sorted((i for i in range(len(found)) if lead[i] >= 0), key=lambda i: (lead[i], second[i], labels[i], found[i][0]))
         empty = [labels[i] for i in range(len(found)) if lead[i] < 0]
         self.base = float((sum(empty) + self.prior) / (len(empty) + 1))
         self.names, self.labels = [found[i][0] for i in used], labels[used]
         self._index([vectors[i] for i in used])
         self.steps = self._calibrated([self._vote(*self.nearest(*vectors[i], skip=n))[0] for n, i in enumerate(used)])
 
-    @staticmethod
-    def _weights(counts: list[dict[str, int]], labels: np.ndarray, min_z: float) -> dict[str, float]:
-        every, toxic = Counter(), Counter()
-        for words, label in zip(counts, labels.tolist()):
-            every.update(words.keys())
-            if label:
-                toxic.update(dict.fromkeys(words, label))
-        share, out = float(labels.mean()) if len(labels) else 0.0, {}
-        for word, n in every.items():
-            z = (toxic[word] - n * share) / math.sqrt(n * share * (1 - share) + 1)
-            if abs(z) >= min_z:
-                out[word] = float(math.log(1 + len(counts) / n) * max(abs(z), LEAST_FACTOR))
-        return out
+    def _factors(self, at: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+        """Per term its idf times a factor that grows with the deviation of its toxic share, in standard errors."""
+        size, share = len(self.place), float(labels.mean()) if len(labels) else 0.0
+        every, toxic = np.zeros(size), np.zeros(size)
+        for terms, label in zip(at, labels.tolist()):
+            every[terms] += 1
+            toxic[terms] += label
+        z = np.abs(toxic - every * share) / np.sqrt(every * share * (1 - share) + 1)
+        return np.log(1 + len(labels) / np.maximum(every, 1)) * np.maximum(z ** 5 / (z ** 4 + FULL_Z ** 4), LEAST_FACTOR)
+
+    def _unit(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(at)
+        at = at[order].astype(np.int64)
+        value = (1 + np.log(counts[order])) * self.factor[at]
+        return at, value / np.sqrt((value ** 2).sum()) if len(at) else value
 
     def _vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers, ascending, and the unit vector's values."""
-        own = sorted((self.place[w], (1 + math.log(c)) * self.weight[w]) for w, c in counts.items() if w in self.place)
-        at, value = np.array([x for x, _ in own], np.int64), np.array([x for _, x in own], np.float64)
-        return at, value / np.sqrt((value ** 2).sum()) if len(own) else value
+        place = self.place
+        own = [(at, c) for at, c in zip(map(place.get, counts), counts.values()) if at is not None]
+        both = np.fromiter(chain.from_iterable(own), np.int64, 2 * len(own))
+        return self._unit(both[::2], both[1::2])
 
     def _index(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Postings by term and by example, and every term's highest weight in each block."""
+        """Postings by term and by example; by term the blocks that hold it with its highest weight there, and overall."""
         sizes = [len(at) for at, _ in vectors]
         self.ends, self.size = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), len(vectors)
+        self.blocks = -(-self.size // BLOCK)
         self.terms = np.concatenate([np.zeros(0, np.int64), *[at for at, _ in vectors]]).astype(np.int32)
         self.values = np.concatenate([np.zeros(0), *[v for _, v in vectors]])
-        example = np.repeat(np.arange(len(vectors)), sizes)
+        example = np.repeat(np.arange(len(vectors), dtype=np.int32), sizes)
         order = np.lexsort((example, self.terms))
-        term, self.posted, self.weights = self.terms[order], example[order], self.values[order]
-        self.posts = np.searchsorted(term, np.arange(len(self.place) + 1))
-        self.highest = np.zeros((len(self.place), -(-len(vectors) // BLOCK)), np.float32)
+        term, self.posted, self.weights = self.terms[order], example[order].astype(np.int64), self.values[order]
+        numbers = np.arange(len(self.place) + 1)
+        self.posts = np.searchsorted(term, numbers).astype(np.int32)
         block = self.posted // BLOCK
         first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))[:len(term)])
-        if len(first):
-            self.highest[term[first], block[first]] = np.maximum.reduceat(self.weights, first)
-
-    def _of_blocks(self, part: list[int], at: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """Similarities of all examples, of those outside the given blocks 0."""
-        query, found = np.zeros(len(self.place)), np.zeros(self.size)
-        query[at] = value
-        for b in part:
-            low, high = b * BLOCK, min(self.size, (b + 1) * BLOCK)
-            lo, hi = self.ends[low], self.ends[high]
-            found[low:high] = np.add.reduceat(self.values[lo:hi] * query[self.terms[lo:hi]], self.ends[low:high] - lo)
-        return found
+        self.held, self.maxima = block[first].astype(np.int64), np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        self.block_posts = np.searchsorted(term[first], numbers).astype(np.int32)
+        self.peak = np.zeros(len(self.place))
+        np.maximum.at(self.peak, term[first], self.maxima)
+        self.query = np.zeros(len(self.place))  # of all terms; zero between texts
+        self.scored = [0, 0]  # examples scored in full, and all there were
 
-    def _of_all(self, at: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """Similarities of all examples, by the postings of the query's terms."""
-        low, high = self.posts[at], self.posts[at + 1]
-        runs = [slice(x, y) for x, y in zip(low.tolist(), high.tolist())]
-        weight = np.concatenate([self.weights[r] for r in runs]) * np.repeat(value, high - low)
-        return np.bincount(np.concatenate([self.posted[r] for r in runs]), weight, self.size)
+    @staticmethod
+    def _sums(lists: tuple, at: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+        """Sums of value times weight over the lists (begin per term, number, weight) of the terms `at`."""
+        begins, number, weight = lists
+        low = begins[at]
+        size = begins[at + 1] - low
+        ends = np.cumsum(size)
+        place = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(low - ends + size, size)
+        return np.bincount(number[place], weight[place] * np.repeat(value, size), n)
+
+    def _similar(self, ids: np.ndarray, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Exact similarities of the given examples."""
+        low, size = self.ends[ids], self.ends[ids + 1] - self.ends[ids]
+        begin = np.cumsum(size) - size
+        place = np.arange(size.sum()) + np.repeat(low - begin, size)
+        self.query[at] = value
+        found = np.add.reduceat(self.values[place] * self.query[self.terms[place]], begin)
+        self.query[at] = 0.0
+        return found
 
     def nearest(self, at: np.ndarray, value: np.ndarray, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Examples with a positive similarity and their similarity, the k nearest, nearest first."""
+        """Examples with a positive similarity and their similarity, the k nearest, nearest first.
+
+        Terms go in descending order of what they can add. Postings are read until all terms left could add only a small
+        share; the k-th best sum so far is then a floor. Of the terms left only the blocks' maxima are read, and only
+        examples that reach the floor with their block's bound are scored in full.
+        """
+        none = np.zeros(0, np.int64), np.zeros(0)
         if not len(at) or not self.size:
-            return np.zeros(0, np.int64), np.zeros(0)
-
-        def top(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            if skip is not None:
-                found[skip] = 0.0
-            ids = np.flatnonzero(found > 0)
-            if len(ids) > self.k:  # ties of the k-th stay
-                ids = ids[found[ids] >= np.partition(found[ids], -self.k)[-self.k] - 1e-9]
-            ids = ids[np.lexsort((ids, -np.round(found[ids], 12)))[:self.k]]
-            return ids, found[ids]
-
-        bound = value.astype(np.float32) @ self.highest[at] * 1.001  # above what single precision may lose
-        first = np.argsort(-bound, kind="stable")[:FIRST]
-        best, score = top(self._of_blocks(first.tolist(), at, value))
-        floor = score[-1] - 1e-9 if len(score) == self.k else 0.0
-        left = np.flatnonzero((bound > 0) & (bound >= floor))
-        if len(left) > len(first) or not set(left.tolist()) <= set(first.tolist()):
-            few = len(left) <= FEW
-            best, score = top(self._of_blocks(sorted({*left.tolist(), *first.tolist()}), at, value) if few else self._of_all(at, value))
-        return best, score
+            return none
+        reach = value * self.peak[at]
+        order = np.argsort(-reach, kind="stable")
+        left = reach.sum() - np.cumsum(reach[order])
+        cut = int(np.searchsorted(-left, -REST * reach.sum())) + 1
+        first, rest = order[:cut], order[cut:]
+        sums = self._sums((self.posts, self.posted, self.weights), at[first], value[first], self.size)
+        if skip is not None:
+            sums[skip] = -2.0
+        floor = np.partition(sums, -self.k)[-self.k] if self.size > self.k else 0.0
+        bound = self._sums((self.block_posts, self.held, self.maxima), at[rest], value[rest], self.blocks)
+        most = sums + np.repeat(bound, BLOCK)[:self.size]
+        ids = np.flatnonzero(most >= floor - 1e-9) if floor > 1e-9 else np.flatnonzero(most > 0)
+        self.scored[0] += len(ids)
+        self.scored[1] += self.size
+        if not len(ids):
+            return none
+        found = self._similar(ids, at, value)
+        ids, found = ids[found > 0], found[found > 0]
+        if len(ids) > self.k:  # ties of the k-th stay
+            near = found >= np.partition(found, -self.k)[-self.k] - 1e-9
+            ids, found = ids[near], found[near]
+        best = np.lexsort((ids, -np.round(found, 12)))[:self.k]
+        return ids[best], found[best]
 
     def _vote(self, best: np.ndarray, score: np.ndarray) -> tuple[float, float]:
         """Share of the votes for toxic (nan without neighbours), and their number."""
@@ -177,7 +204,7 @@ class Model:
 
 def learn(
     docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic",
-    max_examples: int = MAX_EXAMPLES, seed: int = 11, k: int = K, min_z: float = MIN_Z,
+    max_examples: int = MAX_EXAMPLES, seed: int = 11, k: int = K,
 ) -> Model:
     """A model from at most `max_examples` labelled documents; only their ids and term counts reach the driver."""
     given = labels.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{label}`").cast("double").alias("_label")).filter(
@@ -197,7 +224,7 @@ def learn(
         kept = same.setdefault(r._key, [str(r._id), [], dict(zip(r.terms, r.counts))])
         kept[0] = min(kept[0], str(r._id))
         kept[1].append(r._label)
-    return Model(((name, float(np.mean(sorted(given))), counts) for name, given, counts in same.values()), k, min_z)
+    return Model(((name, float(np.mean(sorted(given))), counts) for name, given, counts in same.values()), k)
 
 
 FIELDS = "score double, evidence array<struct<example:string,similarity:double,label:double>>"

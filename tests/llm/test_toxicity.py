@@ -24,7 +24,7 @@ def examples(n=300):
 
 
 def test_nearest_equals_all_cosines():
-    model = toxicity.Model(examples(), k=7, min_z=0.0)
+    model = toxicity.Model(examples(), k=7)
     vectors = np.zeros((len(model.names), len(model.place)))
     counts = {e[0]: e[2] for e in examples()}
     for n, name in enumerate(model.names):
@@ -99,18 +99,30 @@ def test_held_out_accuracy(spark, sf_dir):
 def test_every_term_of_the_examples_counts():
     """Words that say little about the label still make neighbours; they were dropped below two standard errors."""
     model = toxicity.Model(examples())
-    assert set(model.place) == {w for e in examples() for w in e[2]} and min(model.weight.values()) > 0
+    assert set(model.place) == {w for e in examples() for w in e[2]} and model.factor.min() > 0
     for name, _, own in examples():
         assert len(model.score(own)[1]) == toxicity.K
     one = toxicity.Model([(str(k), 1.0, {f"w{k % 3}": 1}) for k in range(6)])  # no deviation at all
     assert sorted(x[0] for x in one.score({"w1": 1})[1]) == ["1", "4"]
 
 
-def test_scored_blocks_or_all_postings_are_the_same(monkeypatch):
+def test_the_share_read_first_changes_nothing(monkeypatch):
     found = []
-    for few in (0, 10 ** 6):
-        monkeypatch.setattr(toxicity, "FEW", few)
+    for rest in (0.0, 0.1, 0.9):
+        monkeypatch.setattr(toxicity, "REST", rest)
         model = toxicity.Model(examples())
         found.append([model.nearest(*model._vector(e[2]), skip=n % 9) for n, e in enumerate(examples())])
-    for (a, x), (b, y) in zip(*found):
-        assert a.tolist() == b.tolist() and np.allclose(x, y)
+    for one in found[1:]:
+        for (a, x), (b, y) in zip(found[0], one):
+            assert a.tolist() == b.tolist() and np.allclose(x, y)
+
+
+def test_blocks_are_pruned(spark, sf_dir):
+    """On sf0.1 most examples are never scored: their blocks' bounds stay below the k-th neighbour."""
+    folder = sf_dir.replace("sf0.001", "sf0.1")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.learn(docs, labels)
+    model.scored = [0, 0]
+    for r in docs.filter("doc_id % 20 = 0").select("text").collect():
+        model.score(toxicity.terms((r.text or "").encode()))
+    assert model.scored[0] <= 0.15 * model.scored[1]
