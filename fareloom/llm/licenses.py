@@ -75,6 +75,9 @@ def _shingle_texts(words: Column) -> Column:
 def prepare(spark: SparkSession, templates: Sequence[tuple[str, str]], n: int) -> list[dict]:
     """Per template: name, class m, the minimum per band and the hash it belongs to, and the distinct shingles."""
     rows = spark.createDataFrame(list(templates), "name string, text string").withColumn("w", license_words(F.col("text")))
+    short = rows.filter(F.size("w") < SHINGLE).select("name").first()
+    if short:
+        raise ValueError(f"template {short.name} has fewer than {SHINGLE} words")
     rows = rows.withColumn("h", shingle_hashes(F.col("w"), SHINGLE)).withColumn("p", _permuted(F.col("h"), n))
     rows = rows.select(
         "name", F.size("w").alias("words"), F.array_distinct(_shingle_texts(F.col("w"))).alias("shingles"),
@@ -82,8 +85,6 @@ def prepare(spark: SparkSession, templates: Sequence[tuple[str, str]], n: int) -
         F.array_distinct(F.transform("p", lambda p: F.get(F.col("h"), F.array_position(p, F.array_min(p)).cast("int") - 1))).alias("leads"))
     out = []
     for r in rows.collect():
-        if r.words < SHINGLE:
-            raise ValueError(f"template {r.name} has fewer than {SHINGLE} words")
         out.append({"name": r.name, "m": 1 << max(0, r.words - SHINGLE).bit_length(), "mins": list(r.mins),
                     "leads": list(r.leads), "shingles": list(r.shingles)})
     return out
