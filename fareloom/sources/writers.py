@@ -1,7 +1,7 @@
 """Writers: dual CSV and Parquet output, append of unseen keys, archive of raw responses."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from fareloom.functions import columns as C
 from fareloom.operators.identity import keep_first
@@ -40,22 +40,75 @@ def write_dual(df: DataFrame, folder: str, name: str, staged: bool = False) -> b
     return True
 
 
-def stored_keys(batch: DataFrame, path: str, keys: list[str] | None = None, layout: str = LAYOUT) -> DataFrame:
+def key_hashes(keys: list[str]) -> list:
+    """128 bits of a key as two longs, `k1` and `k2`; a missing value is a value of its own."""
+    text = F.to_json(F.struct(*[F.col(k) for k in keys]), {"ignoreNullFields": "false"})
+    digest = F.md5(text)
+    half = lambda at: F.conv(F.substring(digest, at, 16), 16, -10).cast("long")
+    return [half(1).alias("k1"), half(17).alias("k2")]
+
+
+def _in_months(layout: str, values: list) -> Column:
+    known = [v for v in values if v is not None]
+    found = F.col(layout).isin(known)
+    return found | F.col(layout).isNull() if len(known) < len(values) else found
+
+
+def key_index(table: DataFrame, path: str, keys: list[str], layout: str, values: list) -> DataFrame | None:
+    """Hashes of all keys stored under the given layout values (`k1`, `k2`), None if there are none.
+
+    `path`_keys holds, file by file, the hashes of the keys in the stored table, under the same layout. It is a memory of
+    what the files hold, not a truth of its own: files it does not know yet are read for their keys and added, and what
+    it knows of files that are gone is left out. So a run that breaks off between table and index leaves nothing wrong.
+    """
+    spark = table.sparkSession
+    # A file's name alone is not unique: one task gives it to its files in all folders. Layout values are months or hex
+    # digits, which folder names hold as they are.
+    folders = {f"{layout}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}" for v in values}
+    named = {"/".join(f.split("/")[-2:]): f for f in table.inputFiles()}
+    files = {name: f for name, f in named.items() if name.split("/")[0] in folders}
+    if not files:
+        return None
+    kind = T.StructType([T.StructField("file", T.StringType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()),
+                         T.StructField(layout, table.schema[layout].dataType)])
+    known = read_table(spark, f"{path}_keys", kind).filter(_in_months(layout, values))
+    seen = {r.file for r in known.select("file").distinct().collect()}
+    new = [files[name] for name in sorted(files.keys() - seen)]
+    if new:
+        own = spark.read.schema(table.schema).option("basePath", path).parquet(*new)
+        file = F.array_join(F.slice(F.split("_metadata.file_path", "/"), -2, 2), "/")
+        hashed = own.select(file.alias("file"), *key_hashes(keys), layout)
+        hashed.hint("rebalance", F.col(layout)).sortWithinPartitions("file").write.mode("append").partitionBy(layout).parquet(f"{path}_keys")
+        known = read_table(spark, f"{path}_keys", kind).filter(_in_months(layout, values))
+    if seen - files.keys():
+        there = F.broadcast(spark.createDataFrame([(f,) for f in files], "file string"))
+        known = known.join(there, "file", "left_semi")
+    return known.select("k1", "k2")
+
+
+def stored_keys(batch: DataFrame, path: str, keys: list[str] | None = None, layout: str = LAYOUT,
+                indexed: bool = False) -> DataFrame:
     """Distinct keys of a stored batch that the table at `path` holds already.
 
-    Only partitions with a `layout` value of the batch are read, the one without a value among them. A batch of checked
-    small size is broadcast against them, so stored rows do not move; a larger one is joined by shuffle.
+    Only partitions with a `layout` value of the batch are read, the one without a value among them. With `indexed` keys
+    are looked up by their 128-bit hashes in the `key_index`, so the table's own key columns are read once, when a file is
+    new: worth while for tables with long keys that grow large. A batch of checked small size is broadcast against what
+    is stored, so stored rows do not move; a larger one is joined by shuffle.
     """
     keys = keys or OBSERVATION_KEY
     counts = batch.groupBy(layout).agg(F.count("*").alias("n")).collect()  # one row per month of the batch
-    total, months = sum(r["n"] for r in counts), [r[layout] for r in counts if r[layout] is not None]
+    total, values = sum(r["n"] for r in counts), [r[layout] for r in counts]
     wanted = list(dict.fromkeys([*keys, layout]))
     table = read_table(batch.sparkSession, path, batch.select(*wanted).schema)
-    wanted_part = F.col(layout).isin(months)
-    if len(months) < len(counts):
-        wanted_part = wanted_part | F.col(layout).isNull()
-    table = table.filter(wanted_part).select(*keys)
     asked = batch.select(*keys).distinct()
+    if indexed:
+        index = key_index(table, path, keys, layout, values)
+        if index is None:
+            return asked.filter("false")
+        hashed = asked.select(*keys, *[h.alias(f"_{n}") for h, n in zip(key_hashes(keys), ("k1", "k2"))])
+        small = F.broadcast(hashed) if total <= BROADCAST_ROWS else hashed
+        return index.join(small, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).select(*keys).distinct()
+    table = table.filter(_in_months(layout, values)).select(*keys)
     if total <= BROADCAST_ROWS:
         asked = F.broadcast(asked)
     return table.join(asked.withColumnsRenamed({k: f"_a_{k}" for k in keys}), _same(keys, "_a_"), "left_semi").distinct()
@@ -96,18 +149,20 @@ def with_layout(df: DataFrame) -> DataFrame:
 
 
 def append_new(new: DataFrame, path: str, keys: list[str] | None = None, order: list[str] | None = None,
-               layout: str = LAYOUT, staged: bool = False) -> dict[str, int]:
+               layout: str = LAYOUT, staged: bool = False, indexed: bool = False, known: DataFrame | None = None) -> dict[str, int]:
     """Append the rows whose key is not stored yet; returns how many were stored and how many skipped.
 
     Rows are first made unique by key, so replaying a batch adds nothing. The table is partitioned by `layout`, which
     must follow from the key. Files are rebalanced, so a hot partition is split over tasks and small ones share a
-    file writer. `staged` says that `new` is a stored table already.
+    file writer. `staged` says that `new` is a stored table already; `indexed` is that of `stored_keys`, and `known` its
+    result for this batch, if it is there already.
     """
     keys = keys or OBSERVATION_KEY
     if layout == LAYOUT:
         new = with_layout(new)
     batch = new if staged else materialise(new, "batch")
-    known = stored_keys(batch, path, keys, layout).withColumnsRenamed({k: f"_s_{k}" for k in keys})
+    known = stored_keys(batch, path, keys, layout, indexed) if known is None else known
+    known = known.withColumnsRenamed({k: f"_s_{k}" for k in keys})
     fresh = materialise(keep_first(batch, keys, order or []).join(known, _same(keys, "_s_"), "left_anti"), "fresh")
     fresh.hint("rebalance", F.col(layout)).write.mode("append").partitionBy(layout).parquet(path)
     added = fresh.count()

@@ -1,4 +1,5 @@
 """Readers, writers, whole builds and the stream on small files."""
+import hashlib
 import json
 import os
 from pathlib import Path
@@ -261,3 +262,43 @@ def test_dashboard_panels(spark):
     assert part["distribution"].count() == 7
     none = dashboard.filtered_dashboard(df, origin="Z")
     assert none["trend"].count() == 0 and none["quality"].first().records == 0
+
+
+def _dated(spark, low, n, month):
+    name = lambda i: hashlib.sha256(str(i).encode()).hexdigest()
+    data = [(DAY(2024, month, 1 + i % 28), f"A{i % 40}-B", DAY(2024, 6, 1 + i % 28), name(i), float(i)) for i in range(low, low + n)]
+    return spark.createDataFrame(data, "collection_date date, route string, outbound_date date, record_id string, total_fare double")
+
+
+def test_known_keys_come_from_the_index(spark, tmp_path, monkeypatch):
+    """What a batch reads: the hashes of its months, and the key columns of files that are new since the last batch."""
+    path, read = str(tmp_path / "t"), []
+    reader = type(spark.read)
+    monkeypatch.setattr(reader, "parquet", lambda self, *p, f=reader.parquet, **k: (read.append(p), f(self, *p, **k))[1])
+    for low in range(0, 8000, 2000):
+        assert writers.append_new(_dated(spark, low, 2000, 1), path, indexed=True)["uploaded"] == 2000
+    writers.append_new(_dated(spark, 0, 500, 2), path, indexed=True)
+    assert writers.append_new(_dated(spark, 0, 8000, 1), path, indexed=True) == {"uploaded": 0, "skipped_duplicates": 8000}
+    read.clear()
+    assert writers.append_new(_dated(spark, 100, 50, 1), path, indexed=True)["uploaded"] == 0
+    assert not [p for p in read if any(x.endswith(".parquet") and "/t/" in x for x in p)]  # no stored file was opened
+    size = lambda place: sum(f.stat().st_size for f in place.rglob("*.parquet"))
+    stored = spark.read.parquet(path).filter("collection_month = '2024-01'")
+    stored.select(*writers.OBSERVATION_KEY).write.parquet(str(tmp_path / "keys alone"))
+    assert size(tmp_path / "t_keys" / "collection_month=2024-01") < size(tmp_path / "keys alone")
+    assert size(tmp_path / "t_keys" / "collection_month=2024-01") < 8000 * 24
+
+
+def test_index_is_only_a_memory(spark, tmp_path):
+    """Files without an index are read, files that are gone count no longer, and nothing is stored twice."""
+    path = tmp_path / "t"
+    writers.append_new(_dated(spark, 0, 100, 1), str(path), indexed=True)
+    writers.append_new(_dated(spark, 100, 100, 1), str(path), indexed=True)
+    index = tmp_path / "t_keys"
+    index.rename(tmp_path / "lost")
+    assert writers.append_new(_dated(spark, 0, 200, 1), str(path), indexed=True)["uploaded"] == 0
+    whole = spark.read.parquet(str(path)).drop("collection_month").withColumn("collection_month", F.lit("2024-01"))
+    rows_left = whole.filter("total_fare < 150").collect()
+    spark.createDataFrame(rows_left, whole.schema).coalesce(1).write.mode("overwrite").partitionBy("collection_month").parquet(str(path))
+    assert writers.append_new(_dated(spark, 0, 200, 1), str(path), indexed=True)["uploaded"] == 50
+    assert spark.read.parquet(str(path)).count() == 200
