@@ -50,17 +50,43 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+class Vocabulary:
+    """Numbers of words, in the order they come."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+
+    def numbered(self, words: Iterable[str], counts: Iterable[int]) -> tuple[np.ndarray, np.ndarray]:
+        number = self.number
+        return (np.array([number.setdefault(w, len(number)) for w in words], np.int32), np.array(list(counts), np.int32))
+
+    def in_order(self) -> tuple[dict[str, int], np.ndarray]:
+        """Numbers in alphabetical order, and the new number of every old one: the same whatever order words came in."""
+        place = {w: k for k, w in enumerate(sorted(self.number))}
+        new = np.zeros(len(place), np.int32)
+        for word, old in self.number.items():
+            new[old] = place[word]
+        return place, new
+
+
 class Model:
     """Vocabulary, block-max index, neighbours and calibration, made from (name, label, term counts)."""
 
     def __init__(self, examples: Iterable[tuple[str, float, dict[str, int]]], k: int = K):
-        self.k, self.place = k, {}
-        found, sizes, at, counts = [], [], [], []
-        for name, label, words in sorted(examples, key=lambda e: e[0]):
-            found.append((name, label))
-            sizes.append(len(words))
-            at.append(np.fromiter((self.place.setdefault(w, len(self.place)) for w in words), np.int32, len(words)))
-            counts.append(np.fromiter(words.values(), np.int32, len(words)))
+        words = Vocabulary()
+        self._learn([(name, label, *words.numbered(own.keys(), own.values())) for name, label, own in examples], words, k)
+
+    @classmethod
+    def of_numbered(cls, examples: list[tuple[str, float, np.ndarray, np.ndarray]], words: "Vocabulary", k: int = K) -> "Model":
+        """From examples whose terms are numbers in a vocabulary, with their counts."""
+        model = cls.__new__(cls)
+        model._learn(examples, words, k)
+        return model
+
+    def _learn(self, examples: list[tuple[str, float, np.ndarray, np.ndarray]], words: "Vocabulary", k: int) -> None:
+        self.k, (self.place, renumbered) = k, words.in_order()
+        examples = sorted(examples, key=lambda e: e[0])
+        found, at, counts = [e[:2] for e in examples], [renumbered[e[2]] for e in examples], [e[3] for e in examples]
         labels = np.array([y for _, y in found], float)
         self.prior = float(labels.mean()) if len(found) else 0.0
         self.factor = self._factors(at, labels)
@@ -220,11 +246,15 @@ def learn(
     found = opened(per_text(rows, "_text", ["_id", "_key", "_label"], "terms array<string>, counts array<int>", make),
                    ["_id", "_key", "_label"], ["terms", "counts"])
     same: dict[int, list] = {}
-    for r in found.toLocalIterator():
-        kept = same.setdefault(r._key, [str(r._id), [], dict(zip(r.terms, r.counts))])
-        kept[0] = min(kept[0], str(r._id))
-        kept[1].append(r._label)
-    return Model(((name, float(np.mean(sorted(given))), counts) for name, given, counts in same.values()), k)
+    words = Vocabulary()
+    for r in found.toLocalIterator():  # as numbers at once: dicts of words would take many times the memory
+        kept = same.get(r._key)
+        if kept is None:
+            same[r._key] = [str(r._id), [r._label], *words.numbered(r.terms, r.counts)]
+        else:
+            kept[0] = min(kept[0], str(r._id))
+            kept[1].append(r._label)
+    return Model.of_numbered([(name, float(np.mean(sorted(given))), at, n) for name, given, at, n in same.values()], words, k)
 
 
 FIELDS = "score double, evidence array<struct<example:string,similarity:double,label:double>>"
