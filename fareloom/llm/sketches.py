@@ -21,9 +21,13 @@ from fareloom.session import materialise
 FRACTION, SHINGLE = 1 / 8, 5
 
 
+def _limit(fraction: float) -> int:
+    return int(-2 ** 63 + fraction * 2 ** 64) if fraction < 1 else 2 ** 63 - 1
+
+
 def with_sketch(df: DataFrame, text: str, name: str, *, fraction: float = FRACTION, shingle: int = SHINGLE) -> DataFrame:
     """`df` with `name`, the sorted array of the distinct retained hashes of the text column."""
-    limit = int(-2 ** 63 + fraction * 2 ** 64) if fraction < 1 else 2 ** 63 - 1
+    limit = _limit(fraction)
     hashed = df.withColumn("_w", words(lower_ascii(F.col(text)))).withColumn("_h", shingle_hashes(F.col("_w"), shingle))
     kept = hashed.withColumn("_k", F.filter("_h", lambda h: h < F.lit(limit)))
     least = F.when(F.size("_h") > 0, F.array(F.array_min("_h"))).otherwise(F.col("_h"))
@@ -31,9 +35,12 @@ def with_sketch(df: DataFrame, text: str, name: str, *, fraction: float = FRACTI
     return kept.withColumn(name, sketch).drop("_w", "_h", "_k")
 
 
-def merged(a: Column, b: Column) -> Column:
-    """Sketch of two texts taken together."""
-    return F.sort_array(F.array_union(a, b))
+def merged(a: Column, b: Column, *, fraction: float = FRACTION) -> Column:
+    """Sketch of two texts taken together: the least hash that a short text retained goes if others are below the
+    threshold; if none is, the least of both stays."""
+    both = F.array_union(a, b)
+    below = F.filter(both, lambda h: h < F.lit(_limit(fraction)))
+    return F.when(F.size(below) > 0, F.sort_array(below)).otherwise(F.slice(F.sort_array(both), 1, 1))
 
 
 def containment(a: Column, b: Column) -> Column:
