@@ -10,8 +10,8 @@ points that occur in at least `min_docs` documents lose all their lines, except
    go through an exact count by key. A full filter only makes more suspects; it never changes the result.
 3. The documents meet the keys they lose by id and are rewritten.
 
-Defined results: a null or empty text is one empty line; a document is a row; rows with one id keep or lose a key
-together; a null id is smaller than any other; other columns pass through; an empty table has an empty result.
+Defined results: a null or empty text is one empty line; rows with one id are one document, and keep or lose a key
+together; a row without an id is no document to count, but loses the keys that documents repeat; other columns pass through; an empty table has an empty result.
 """
 from __future__ import annotations
 
@@ -133,7 +133,7 @@ def drop_repeated_lines(
         low = row.segment * 2 ** _SEGMENT // 8
         held[low:low + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
     found = materialise(suspects(docs, text, doc_id, held, min_chars, bits), "suspects")
-    repeated = found.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).filter(
+    repeated = found.groupBy("key").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).filter(
         F.col("n") >= min_docs).select("key", "keeper")
     repeated = materialise(repeated, "repeated")  # on its own, so that the join can split a key that very many hold
     lost = found.join(repeated, "key").filter(~F.col("id").eqNullSafe(F.col("keeper")))

@@ -1,4 +1,4 @@
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 
@@ -11,16 +11,16 @@ SPACES = " \t\n\x0b\x0c\r"
 def plain(rows, min_chars=20, min_docs=3):
     """(id, text) -> expected (id, kept text, lines, dropped) by looking at every line."""
     key = lambda x: x.strip(SPACES).translate({c: c + 32 for c in range(65, 91)})
-    seen, keeper = Counter(), {}
+    seen, keeper = defaultdict(set), {}
     order = lambda i: -1 if i is None else i
     for i, text in rows:
         for k in {key(x) for x in (text or "").split("\n")}:
-            if len(k) >= min_chars:
-                seen[k] += 1
+            if len(k) >= min_chars and i is not None:  # as COUNT(DISTINCT doc_id) has it
+                seen[k].add(i)
                 keeper[k] = max([keeper.get(k, i), i], key=order)
     lost = defaultdict(set)
     for i, text in rows:
-        lost[i] |= {k for k in {key(x) for x in (text or "").split("\n")} if seen[k] >= min_docs and keeper[k] != i}
+        lost[i] |= {k for k in {key(x) for x in (text or "").split("\n")} if len(seen[k]) >= min_docs and keeper[k] != i}
     out = []
     for i, text in rows:
         lines = (text or "").split("\n")
@@ -44,6 +44,17 @@ def test_odd_rows_and_repeats(spark):
     assert line_dedup.drop_repeated_lines(cases.none(spark), bits=2 ** 12).collect() == []
 
 
+def test_rows_with_one_id_are_one_document(spark):
+    long = "a line of more than twenty characters"
+    rows = [(5, long), (5, f"{long}\nx"), (6, long), (7, f"{long}, too"), (7, f"{long}, too"), (8, f"{long}, too"), (9, f"{long}, too"),
+            (None, f"{long}, too"), (None, "only rows without an id hold this"), (None, "only rows without an id hold this"),
+            (None, "only rows without an id hold this")]
+    got = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bits=2 ** 12)
+    dropped = sorted(((r.doc_id, r.n_dropped) for r in got.collect()), key=repr)
+    assert dropped == sorted([(5, 0), (5, 0), (6, 0), (7, 1), (7, 1), (8, 1), (9, 0), (None, 1), (None, 0), (None, 0), (None, 0)], key=repr)
+    assert sorted([(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()], key=repr) == plain(rows)
+
+
 def test_table(spark, sf_dir):
     docs = cases.sample(spark, sf_dir, 200)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
