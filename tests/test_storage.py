@@ -302,3 +302,45 @@ def test_index_is_only_a_memory(spark, tmp_path):
     spark.createDataFrame(rows_left, whole.schema).coalesce(1).write.mode("overwrite").partitionBy("collection_month").parquet(str(path))
     assert writers.append_new(_dated(spark, 0, 200, 1), str(path), indexed=True)["uploaded"] == 50
     assert spark.read.parquet(str(path)).count() == 200
+
+
+def test_a_run_reads_stored_keys_once(spark, tmp_path, monkeypatch):
+    """Batches of a run look up keys in its memory: stored tables are read before the first batch only, however many follow."""
+    landing, read = tmp_path / "landing", []
+    landing.mkdir()
+    for k in range(4):
+        body = '{"best_flights":[{"price":%d,"flights":[{"airline":"A","departure_airport":{"id":"del"}}]}]}' % (100 + k % 3)
+        record = {"search_id": k, "departure_airport": "del", "arrival_airport": "bom", "outbound_date": f"2024-02-0{1 + k % 3}",
+                  "currency": "inr", "collected_at": "2024-01-05 10:00:00", "body": body}
+        (landing / f"{k}.json").write_text(json.dumps(record))
+    reader, folder = type(spark.read), tmp_path / "store"
+    monkeypatch.setattr(reader, "parquet", lambda self, *p, f=reader.parquet, **k: (read.extend(p), f(self, *p, **k))[1])
+    for run in range(2):
+        ingest_stream(spark, str(landing), str(folder), str(tmp_path / f"c{run}"), files_per_batch=1, run_id=f"r{run}").awaitTermination()
+    stored = [p.removeprefix(f"{folder}/").split("/")[0] for p in read if p.startswith(str(folder))]
+    assert stored and max(stored.count(name) for name in set(stored)) <= 2  # once a run
+    monkeypatch.undo()
+    whole = spark.read.parquet(f"{folder}/observations")
+    assert whole.count() == 3 and spark.read.parquet(f"{folder}/raw").count() == 3
+    runs = {tuple(r) for r in spark.read.parquet(f"{folder}/runs").groupBy("run_id").agg(F.count("*"), F.sum("new_records")).collect()}
+    assert runs == {("r0", 4, 3), ("r1", 4, 0)}
+
+
+def test_memory_is_made_one_and_tells_all_keys_apart(spark, tmp_path, monkeypatch):
+    from fareloom.sources import memory as m
+
+    monkeypatch.setattr(m, "PARTS", 2)
+    path = str(tmp_path / "t")
+    writers.append_new(_dated(spark, 0, 10, 1), path)
+    held = m.KeyMemory(path)
+    for low in range(0, 60, 10):
+        assert writers.append_new(_dated(spark, low, 20, 1), path, memory=held)["uploaded"] == 10
+    assert writers.append_new(_dated(spark, 0, 70, 1), path, memory=held) == {"uploaded": 0, "skipped_duplicates": 70}
+    stamps = [(DAY(2024, 1, 5), "r", 1, TS(2024, 1, 5, 10, 0, 0, 500), "A-B", None), (DAY(2024, 1, 5), "r", 1, TS(2024, 1, 5, 10, 0, 0, 501), "A-B", None)]
+    table = spark.createDataFrame(stamps, "collection_date date, run_id string, search_id long, collection_timestamp timestamp, "
+                                  "route string, outbound_date date")
+    held, path = m.KeyMemory(f"{path}2"), f"{path}2"
+    for rows_in in (table.limit(1), table, table.withColumn("collection_date", F.lit(None).cast("date"))):
+        writers.append_new(rows_in, path, writers.MANIFEST_KEY, memory=held)
+    assert writers.append_new(table, path, writers.MANIFEST_KEY, memory=held)["uploaded"] == 1
+    assert spark.read.parquet(path).count() == 4
