@@ -342,5 +342,5 @@ def test_memory_is_made_one_and_tells_all_keys_apart(spark, tmp_path, monkeypatc
     held, path = m.KeyMemory(f"{path}2"), f"{path}2"
     for rows_in in (table.limit(1), table, table.withColumn("collection_date", F.lit(None).cast("date"))):
         writers.append_new(rows_in, path, writers.MANIFEST_KEY, memory=held)
-    assert writers.append_new(table, path, writers.MANIFEST_KEY, memory=held)["uploaded"] == 1
+    assert writers.append_new(table, path, writers.MANIFEST_KEY, memory=held)["uploaded"] == 0
     assert spark.read.parquet(path).count() == 4
