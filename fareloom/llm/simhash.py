@@ -143,8 +143,8 @@ def trie_links(rest: np.ndarray, roots: list[tuple[int, int, int, int]], budget:
     return alo[~same], blo[~same]
 
 
-def _forest(u: np.ndarray, v: np.ndarray) -> pd.DataFrame:
-    """Links that connect the same fingerprints as (u, v): one from each to the least of its group."""
+def forest(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Links that connect the same fingerprints as (u, v): one from each to the least of its group, as rows of two."""
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -159,14 +159,13 @@ def _forest(u: np.ndarray, v: np.ndarray) -> pd.DataFrame:
         a, b = find(x), find(y)
         if a != b:
             parent[max(a, b)] = min(a, b)
-    pairs = [(x, find(x)) for x in list(parent) if find(x) != x]
-    return pd.DataFrame(pairs, columns=["u", "v"], dtype="int64")
+    return np.array([(x, find(x)) for x in list(parent) if find(x) != x], np.int64).reshape(-1, 2)
 
 
 _UNIT = ["trie", "top", "a", "b"]
 
 
-def _joiner(budget: int, forest: bool, leaves: int):
+def _joiner(budget: int, spanning: bool, leaves: int):
     """Reads rows sorted by unit, side and rest; hands on whole units, several at a time."""
     def links(part: pd.DataFrame) -> pd.DataFrame:
         unit = part[_UNIT].to_numpy(np.int64)
@@ -185,7 +184,8 @@ def _joiner(budget: int, forest: bool, leaves: int):
         if not roots:
             return pd.DataFrame({"u": [], "v": []}, dtype="int64")
         u, v = trie_links(rest, roots, budget)
-        return _forest(fp[u], fp[v]) if forest else pd.DataFrame({"u": fp[u], "v": fp[v]})
+        pairs = forest(fp[u], fp[v]) if spanning else np.stack([fp[u], fp[v]], 1)
+        return pd.DataFrame(pairs, columns=["u", "v"], dtype="int64")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
