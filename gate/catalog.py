@@ -17,7 +17,7 @@ from fareloom.operators import price_index as idx
 from fareloom.operators.stats import exact_quantiles
 from fareloom.plans import analytics, dashboard, dataset, incremental
 from fareloom.schema import TRAVEL
-from fareloom.session import fresh_path
+from fareloom.session import fresh_path, materialise
 from fareloom.sources import readers, versions, writers
 from fareloom.streaming.ingest import ingest_stream as run_ingest, run_summary
 from gate import views as v
@@ -65,7 +65,7 @@ def src_option_csv(s, d):
 
 @query
 def src_observation_json(s, d):
-    rows = readers.read_observations(s, v.records_json(s, d), "*.txt")
+    rows = readers.read_observations(s, v.records_json(s, d), "*.txt.gz")
     return rows.select("record_id", "departure_airport", "arrival_airport", "outbound_date", "airline", "price",
                        "currency", "stops")
 
@@ -100,7 +100,7 @@ def sink_dual(s, d):
 
 @query
 def sink_append_new(s, d):
-    target, rows = fresh_path(s, "stored"), v.sparse(s, d).select(*writers.OBSERVATION_KEY, "total_fare")
+    target, rows = fresh_path(s, "stored"), v.sparse(s, d, *writers.OBSERVATION_KEY, "total_fare").select(*writers.OBSERVATION_KEY, "total_fare")
     for part in (rows.filter(F.col("collection_date") < "1996-01-01"), rows, rows):
         writers.append_new(part, target, order=["total_fare"])
     return s.read.parquet(target).groupBy("route", F.year("collection_date").alias("year")).agg(
@@ -177,8 +177,8 @@ def resolve_fare(s, d):
     return clean.resolve_fare(rows, per_row=True).select("id", "column_fare", "total_fare")
 
 
-def _typed_dirty(s, d):
-    rows = clean.coerce_types(v.dirty(s, d), ["price"], ["outbound_date"], [])
+def _typed_dirty(s, d, once=False):
+    rows = clean.coerce_types(v.dirty(s, d, once=once), ["price"], ["outbound_date"], [])
     return clean.build_route(rows.withColumn("total_fare", F.col("price")))
 
 
@@ -284,12 +284,14 @@ def dedup_observations(s, d):
 
 @query
 def dedup_records(s, d):
-    rows = v.sparse(s, d).select("record_id", "collection_timestamp", "total_fare", "l_partkey", "l_suppkey")
+    seen = v.sparse(s, d, "record_id", "collection_timestamp", "total_fare", "l_partkey", "l_suppkey", "origin", "destination",
+                    "outbound_date", "airline", "price")
+    rows = seen.select("record_id", "collection_timestamp", "total_fare", "l_partkey", "l_suppkey")
     order = ["collection_timestamp", "total_fare", "l_partkey", "l_suppkey"]
     by_id = ident.dedup_records(rows, order).withColumn("key", F.lit("id"))
-    plain = v.sparse(s, d).select(F.col("origin").alias("departure_airport"), F.col("destination").alias("arrival_airport"),
-                                  "outbound_date", "airline", F.floor(F.col("price") / 10000).alias("price"),
-                                  "collection_timestamp", "total_fare", "l_partkey", "l_suppkey", "record_id")
+    plain = seen.select(F.col("origin").alias("departure_airport"), F.col("destination").alias("arrival_airport"),
+                        "outbound_date", "airline", F.floor(F.col("price") / 10000).alias("price"),
+                        "collection_timestamp", "total_fare", "l_partkey", "l_suppkey", "record_id")
     fallback = ident.dedup_records(plain.drop("record_id"), order).withColumn("key", F.lit("fallback"))
     fallback = fallback.select(F.concat_ws("/", "departure_airport", "arrival_airport", "airline", "price")
                                .alias("record_id"), "collection_timestamp", "total_fare", "l_partkey", "l_suppkey", "key")
@@ -298,7 +300,7 @@ def dedup_records(s, d):
 
 @query
 def index_snapshot_hash(s, d):
-    rows = v.dense(s, d).groupBy("route", "outbound_date").agg(F.count("*").alias("sample_size"))
+    rows = v.dense(s, d, once=True).groupBy("route", "outbound_date").agg(F.count("*").alias("sample_size"))
     rows = rows.withColumn("calculated_at", F.current_timestamp())
     return ident.index_snapshot_hash(rows).drop("calculated_at")
 
@@ -395,7 +397,7 @@ def route_analysis_detailed(s, d):
 
 @query
 def airline_analysis(s, d):
-    return agg.airline_analysis(v.sparse(s, d))
+    return agg.airline_analysis(v.sparse(s, d, "route", "airline", "total_fare", "stops", "total_duration_minutes"))
 
 
 @query
@@ -461,7 +463,7 @@ def index_input(s, d):
 
 @query
 def fare_summary(s, d):
-    return quality.fare_summary(v.sparse(s, d))
+    return quality.fare_summary(v.sparse(s, d, "route", "airline", "outbound_date", "total_fare", "collection_timestamp"))
 
 
 @query
@@ -491,19 +493,19 @@ def quality_summary(s, d):
 
 @query
 def quality_filtered(s, d):
-    rows = _typed_dirty(s, d).withColumns({"collection_timestamp": F.col("collected_at"),
+    rows = _typed_dirty(s, d, once=True).withColumns({"collection_timestamp": F.col("collected_at"),
                                            "fare_outlier": F.col("total_fare") > 90000})
     return quality.quality_filtered(serving.filter_observations(rows.drop("origin"), origin="ASIA"))
 
 
 @query
 def search_index(s, d):
-    return col.search_index(v.flattened(s, d), base_fare=40000.0)
+    return col.search_index(v.flattened(s, d, once=True), base_fare=40000.0)
 
 
 @query
 def search_index_own_base(s, d):
-    return col.search_index(v.flattened(s, d))
+    return col.search_index(v.flattened(s, d, once=True))
 
 
 @query
@@ -913,7 +915,7 @@ def sink_published(s, d):
 def sink_index_snapshot(s, d):
     """The same index results stored twice, then all but those of one route with other values."""
     target = fresh_path(s, "snapshots")
-    index = col.search_index(v.flattened(s, d), 40000.0)
+    index = materialise(col.search_index(v.flattened(s, d, once=True), 40000.0), "index")  # stored three times below
     index = index.withColumns({"collection_date": F.col("outbound_date"), "calculated_at": F.current_timestamp()})
     changed = index.withColumn("base_fare", F.when(F.col("route") == "ASIA-EUROPE", F.col("base_fare")).otherwise(1.0))
     for part in (index, index, changed):
@@ -987,7 +989,7 @@ def ingest_results(s, d):
 @query
 def sink_append_undated(s, d):
     """Rows with missing dates, appended three times."""
-    target, rows = fresh_path(s, "undated"), v.sparse(s, d).select(*writers.OBSERVATION_KEY, "total_fare")
+    target, rows = fresh_path(s, "undated"), v.sparse(s, d, *writers.OBSERVATION_KEY, "total_fare").select(*writers.OBSERVATION_KEY, "total_fare")
     rows = rows.withColumn("collection_date", F.when(F.month("collection_date") > 3, F.col("collection_date")))
     for part in (rows, rows.filter(F.col("collection_date").isNull()), rows):
         writers.append_new(part, target, order=["total_fare"])

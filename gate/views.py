@@ -36,20 +36,38 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _regions(spark, sf_dir, alias):
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("_nk"), F.col("r_name").alias(alias))
+def derived(spark: SparkSession, sf_dir: str, name: str, build, columns: tuple[str, ...] = (), once: bool = False) -> DataFrame:
+    """A derived table: as stored, if this session has stored it whole.
 
+    Otherwise a query that reads it `once` gets it computed, where the plan reads and shuffles only what the query uses; and
+    of a table that a query reads more often, only the `columns` that it uses are stored, if it names them.
+    """
+    if (spark.sparkContext.applicationId, sf_dir, name) in _written:
+        return stored(spark, sf_dir, name, build)
+    if once:
+        return build()
+    if columns:
+        return stored(spark, sf_dir, "-".join([name, *columns]), lambda: build().select(*columns))
+    return stored(spark, sf_dir, name, build)
 
-def _customers(spark, sf_dir, alias):
-    c = table(spark, sf_dir, "customer")
-    return c.join(_regions(spark, sf_dir, alias), F.col("c_nationkey") == F.col("_nk")).select("c_custkey", alias)
+
+# Suppliers, a key and a nation each, are broadcast up to this many rows, some 50 bytes each.
+SUPPLIERS = 1_000_000
+
+
+def _in_region(rows: DataFrame, sf_dir: str, nation: str, alias: str) -> DataFrame:
+    """Rows with the name of their nation's region. The look-up of nations comes after the join that brings the nation key,
+    so that Spark knows the size of that join's table from its files."""
+    n, r = (table(rows.sparkSession, sf_dir, t) for t in ("nation", "region"))
+    names = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("_nk"), F.col("r_name").alias(alias))
+    return rows.join(F.broadcast(names), F.col(nation) == F.col("_nk")).drop("_nk", nation)
 
 
 def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One search per order, some of them within one region."""
-    o, r = table(spark, sf_dir, "orders"), table(spark, sf_dir, "region")
-    rows = o.join(_customers(spark, sf_dir, "origin"), F.col("o_custkey") == F.col("c_custkey"))
+    o, r, c = (table(spark, sf_dir, t) for t in ("orders", "region", "customer"))
+    rows = o.join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = _in_region(rows, sf_dir, "c_nationkey", "origin")
     rows = rows.join(r, F.pmod("o_orderkey", F.lit(5)) == F.col("r_regionkey"))
     return rows.select(
         F.col("o_orderkey").alias("id"), "origin", F.col("r_name").alias("destination"),
@@ -60,15 +78,17 @@ def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _options(spark, sf_dir):
-    l, o, p = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
-    s = table(spark, sf_dir, "supplier").join(_regions(spark, sf_dir, "origin"), F.col("s_nationkey") == F.col("_nk"))
-    # Orders meet their customers on their own, so that line items, the widest and most rows, move once for both.
-    o = o.select("o_orderkey", "o_custkey").join(_customers(spark, sf_dir, "destination"), F.col("o_custkey") == F.col("c_custkey"))
-    rows = (
-        l.join(o.select("o_orderkey", "destination"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(s.select("s_suppkey", "origin"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(p.select("p_partkey", "p_type", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    )
+    l, o, p, c, s = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part", "customer", "supplier"))
+    s = s.select("s_suppkey", "s_nationkey")
+    if s.count() <= SUPPLIERS:
+        s = F.broadcast(s)
+    # Orders meet their customers on their own, so that line items, the widest and most rows, move once for both. They meet
+    # line items last and as a hash table: line items are not sorted, which spills where a task has many, and stay dealt by order.
+    o = o.select("o_orderkey", "o_custkey").join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    o = _in_region(o, sf_dir, "c_nationkey", "destination").select("o_orderkey", "destination")
+    rows = _in_region(l.join(s, F.col("l_suppkey") == F.col("s_suppkey")), sf_dir, "s_nationkey", "origin")
+    rows = rows.join(p.select("p_partkey", "p_type", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = rows.join(o.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
     lead = (F.pmod(F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13, F.lit(97)) - 2).cast("int")
     ship = F.to_date("l_shipdate")
     hour = F.pmod("l_orderkey", F.lit(24)).cast("int")
@@ -89,13 +109,13 @@ def _options(spark, sf_dir):
 _KEYS = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity"]
 
 
-def options(spark: SparkSession, sf_dir: str) -> DataFrame:
+def options(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
     """One option per line item, with a non-unique id."""
-    return stored(spark, sf_dir, "options", lambda: _options(spark, sf_dir))
+    return derived(spark, sf_dir, "options", lambda: _options(spark, sf_dir), once=once)
 
 
 def _observations(spark, sf_dir):
-    rows = options(spark, sf_dir).withColumns({
+    rows = options(spark, sf_dir, once=True).withColumns({
         "route": F.concat_ws("-", "origin", "destination"), "total_fare": F.col("price"),
         "stops": F.greatest(F.col("stops"), F.lit(0)), "duration_minutes": F.col("total_duration_minutes"),
         "record_id": F.col("id").cast("string"),
@@ -104,9 +124,9 @@ def _observations(spark, sf_dir):
     return rows.withColumn("fare_outlier", F.col("price") > 90000).drop("collected_at", "l_linenumber", "l_quantity")
 
 
-def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sparse(spark: SparkSession, sf_dir: str, *columns: str, once: bool = False) -> DataFrame:
     """Observations on their own travel dates."""
-    return stored(spark, sf_dir, "sparse", lambda: _observations(spark, sf_dir))
+    return derived(spark, sf_dir, "sparse", lambda: _observations(spark, sf_dir), columns, once)
 
 
 def laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,9 +146,9 @@ def bucketed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return spark.table(names[0]), spark.table(names[1])
 
 
-def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dense(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
     """Observations with travel dates moved to the first of the month, so that date groups are large."""
-    return sparse(spark, sf_dir).withColumn("outbound_date", F.trunc("outbound_date", "month"))
+    return sparse(spark, sf_dir, once=once).withColumn("outbound_date", F.trunc("outbound_date", "month"))
 
 
 # Route weights used by the index queries.
@@ -137,7 +157,7 @@ WEIGHTS = {"AMERICA-ASIA": 0.30, "ASIA-EUROPE": 0.25, "EUROPE-MIDDLE EAST": 0.20
 
 
 def _dirty(spark, sf_dir):
-    rows = options(spark, sf_dir)
+    rows = options(spark, sf_dir, once=True)
     k, s = F.col("l_partkey"), F.col("l_suppkey")
     text = F.when(k % 53 == 0, "n/a").when(k % 50 == 0, (-F.col("price")).cast("string"))
     text = text.otherwise(F.col("price").cast("string"))
@@ -156,14 +176,15 @@ def _dirty(spark, sf_dir):
     return rows.withColumn("copy", F.explode(copies))
 
 
-def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dirty(spark: SparkSession, sf_dir: str, *columns: str, once: bool = False) -> DataFrame:
     """Options with bad, missing, padded and repeated values placed by key."""
-    return stored(spark, sf_dir, "dirty", lambda: _dirty(spark, sf_dir))
+    return derived(spark, sf_dir, "dirty", lambda: _dirty(spark, sf_dir), columns, once)
 
 
-def dirty_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dirty_records(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
     """The dirty options shaped as collected observations."""
-    rows = dirty(spark, sf_dir)
+    rows = dirty(spark, sf_dir, "id", "collected_at", "origin", "destination", "outbound_date", "airline",
+                 "total_duration_minutes", "stops", "price", "currency", "l_partkey", "l_suppkey", once=once)
     return rows.select(
         F.col("id").cast("string").alias("record_id"), F.col("collected_at").cast("string").alias("collection_timestamp"),
         F.col("origin").alias("departure_airport"), F.col("destination").alias("arrival_airport"), "outbound_date",
@@ -174,41 +195,48 @@ def dirty_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _landed(spark, sf_dir):
-    rows = options(spark, sf_dir)
-    n = F.greatest(F.col("stops"), F.lit(0)) + 1
+    rows = options(spark, sf_dir, once=True)
     end = lambda code, at: F.struct(code.alias("id"), at.alias("time"))
-    seg = lambda i: F.struct(
-        F.col("airline").alias("airline"), F.concat(F.lit("f-"), i.cast("string")).alias("flight_number"),
-        F.lit("Economy").alias("travel_class"),
-        end(F.when(i == 1, F.col("origin")).otherwise(F.lit("MID")), F.lit("08:00")).alias("departure_airport"),
-        end(F.when(i == n, F.col("destination")).otherwise(F.lit("MID")), F.lit("12:00")).alias("arrival_airport"))
-    ext = F.when(F.col("l_partkey") % 10 == 0, F.array(F.lit("Sold  out"))).otherwise(F.array(F.lit("Carry-on")))
-    itinerary = F.struct(
-        F.col("price").alias("price"), F.col("total_duration_minutes").cast("int").alias("total_duration"),
-        ext.alias("extensions"), F.transform(F.sequence(F.lit(1), n), seg).alias("flights"))
-    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", itinerary.alias("it"))
+
+    def itinerary(x):
+        n = F.greatest(x["stops"], F.lit(0)) + 1
+        seg = lambda i: F.struct(
+            x["airline"].alias("airline"), F.concat(F.lit("f-"), i.cast("string")).alias("flight_number"),
+            F.lit("Economy").alias("travel_class"),
+            end(F.when(i == 1, x["origin"]).otherwise(F.lit("MID")), F.lit("08:00")).alias("departure_airport"),
+            end(F.when(i == n, x["destination"]).otherwise(F.lit("MID")), F.lit("12:00")).alias("arrival_airport"))
+        ext = F.when(x["l_partkey"] % 10 == 0, F.array(F.lit("Sold  out"))).otherwise(F.array(F.lit("Carry-on")))
+        return F.struct(
+            x["price"].alias("price"), x["total_duration"].alias("total_duration"), ext.alias("extensions"),
+            F.transform(F.sequence(F.lit(1), n), seg).alias("flights"))
+
+    # What itineraries are made from is what is grouped and sorted; in this order it sorts as the itineraries would.
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "price", F.col("total_duration_minutes").cast("int").alias("total_duration"),
+                    "airline", "origin", "destination", "stops")
     grouped = rows.groupBy("search_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    part = lambda keep: F.transform(F.filter("items", keep), lambda x: x["it"])
+    part = lambda keep: F.transform(F.filter("items", keep), itinerary)
     body = F.to_json(F.struct(
         part(lambda x: x["l_linenumber"] <= 2).alias("best_flights"),
         part(lambda x: x["l_linenumber"] > 2).alias("other_flights")))
     o = table(spark, sf_dir, "orders")
     stamp = F.date_format(F.col("o_orderdate"), "yyyy-MM-dd HH:mm:ss")
-    return grouped.join(o, F.col("search_id") == F.col("o_orderkey")).select(
+    # Groups and orders meet as groups were dealt; the bodies are made after that.
+    return grouped.join(o.hint("shuffle_hash"), F.col("search_id") == F.col("o_orderkey")).select(
         "search_id", F.lit("XXX").alias("departure_airport"), F.lit("YYY").alias("arrival_airport"),
         F.date_format(F.date_add(F.to_date("o_orderdate"), 5), "yyyy-MM-dd").alias("outbound_date"),
         F.lit(None).cast("string").alias("return_date"), F.lit("inr").alias("currency"),
         stamp.alias("collected_at"), body.alias("body"))
 
 
-def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def landed(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
     """One landed response per order, its line items as itineraries."""
-    return stored(spark, sf_dir, "landed", lambda: _landed(spark, sf_dir)).select(*schema.LANDED.names)
+    return derived(spark, sf_dir, "landed", lambda: _landed(spark, sf_dir), once=once).select(*schema.LANDED.names)
 
 
-def flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flattened(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
     """Observations flattened from the landed responses."""
-    return stored(spark, sf_dir, "flattened", lambda: observations_from(landed(spark, sf_dir), "provider", "engine"))
+    build = lambda: observations_from(landed(spark, sf_dir, once=True), "provider", "engine")
+    return derived(spark, sf_dir, "flattened", build, once=once)
 
 
 def _dirty_searches(spark, sf_dir):
@@ -235,22 +263,22 @@ def searches_csv(spark: SparkSession, sf_dir: str) -> str:
 
 def options_csv(spark: SparkSession, sf_dir: str) -> str:
     """Path of the dirty options as CSV."""
-    rows = dirty(spark, sf_dir).select(*schema.OPTION.names)
+    rows = dirty(spark, sf_dir, once=True).select(*schema.OPTION.names)
     rows = rows.withColumn("collected_at", F.date_format("collected_at", "yyyy-MM-dd HH:mm:ss"))
     return written_path(spark, sf_dir, "options_csv", lambda p: _csv(rows)(p))
 
 
-def _as_documents(df, group):
+def _as_documents(df, group, compression="none"):
     """One JSON list per file, each of a bounded range of searches."""
     lists = df.groupBy(group.alias("part")).agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))
-    return lambda path: lists.write.partitionBy("part").text(path)
+    return lambda path: lists.write.option("compression", compression).partitionBy("part").text(path)
 
 
 def records_json(spark: SparkSession, sf_dir: str) -> str:
-    """Path of the dirty records as JSON documents."""
-    rows = dirty_records(spark, sf_dir)
+    """Path of the dirty records as JSON documents, a tenth of the size by gzip: a file is one task's work either way."""
+    rows = dirty_records(spark, sf_dir, once=True)
     group = F.floor(F.col("record_id").cast("long") / 16000)
-    return written_path(spark, sf_dir, "records_json", lambda p: _as_documents(rows, group)(p))
+    return written_path(spark, sf_dir, "records_json", lambda p: _as_documents(rows, group, "gzip")(p))
 
 
 def landed_json(spark: SparkSession, sf_dir: str) -> str:
