@@ -168,10 +168,14 @@ def append_new(new: DataFrame, path: str, keys: list[str] | None = None, order:
     if layout == LAYOUT:
         new = with_layout(new)
     batch = new if staged else materialise(new, "batch")
-    if known is None:
-        known = memory.known(batch, keys, layout) if memory else stored_keys(batch, path, keys, layout, indexed)
-    known = known.withColumnsRenamed({k: f"_s_{k}" for k in keys})
-    fresh = materialise(keep_first(batch, keys, order or []).join(known, _same(keys, "_s_"), "left_anti"), "fresh")
+    if known is None and not memory and not indexed and batch.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        fresh = _unstored(batch, path, keys, order or [], layout)
+    else:
+        if known is None:
+            known = memory.known(batch, keys, layout) if memory else stored_keys(batch, path, keys, layout, indexed)
+        known = known.withColumnsRenamed({k: f"_s_{k}" for k in keys})
+        fresh = keep_first(batch, keys, order or []).join(known, _same(keys, "_s_"), "left_anti")
+    fresh = materialise(fresh, "fresh")
     added = fresh.count()
     if after:
         after()
@@ -184,6 +188,21 @@ def append_new(new: DataFrame, path: str, keys: list[str] | None = None, order:
     return {"uploaded": added, "skipped_duplicates": batch.count() - added}
 
 
+def _unstored(batch: DataFrame, path: str, keys: list[str], order: list[str], layout: str) -> DataFrame:
+    """`keep_first` of a large batch without the rows whose key is stored: one aggregate over the batch and the stored keys
+    of its months, so that either is shuffled once and nothing is joined. Null keys equal each other."""
+    values = [r[layout] for r in batch.select(layout).distinct().collect()]  # one row per month of the batch
+    wanted = list(dict.fromkeys([*keys, layout]))
+    table = read_table(batch.sparkSession, path, batch.select(*wanted).schema).filter(_in_months(layout, values))
+    first = [c for c in order if c not in keys]
+    rest = [*first, *[c for c in batch.columns if c not in keys and c not in first]]
+    row = F.struct(*rest, *([] if rest else [F.lit(1).alias("_one")]))
+    rows = batch.select(*keys, row.alias("_row"), F.lit(False).alias("_old"))
+    both = rows.unionByName(table.select(*keys, F.lit(True).alias("_old")), allowMissingColumns=True)
+    best = both.groupBy(*keys).agg(F.min("_row").alias("_best"), F.max("_old").alias("_old")).filter("not _old")
+    return best.select(*[F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in batch.columns])
+
+
 def archive_raw(landed: DataFrame, path: str, memory: KeyMemory | None = None) -> dict[str, int]:
     """Store raw responses keyed by year, month, day, route, travel date and content hash; known ones are skipped."""
     when = C.instant("collected_at")

@@ -344,3 +344,20 @@ def test_memory_is_made_one_and_tells_all_keys_apart(spark, tmp_path, monkeypatc
         writers.append_new(rows_in, path, writers.MANIFEST_KEY, memory=held)
     assert writers.append_new(table, path, writers.MANIFEST_KEY, memory=held)["uploaded"] == 0
     assert spark.read.parquet(path).count() == 4
+
+
+def test_large_batches_join_nothing(spark, tmp_path, monkeypatch):
+    """Batch and stored keys are shuffled once each; nulls, repeats within the batch and keys of other months as before."""
+    rows = [("2024-01-01", "A-B", "2024-03-01", "1", 5.0), ("2024-01-01", "A-B", "2024-03-01", "1", 4.0), (None, None, None, None, 2.0),
+            (None, None, None, None, 1.0), ("2024-02-01", "A-B", None, "2", 7.0), ("2024-02-01", "A-B", None, "3", None)]
+    kind = "collection_date string, route string, outbound_date string, record_id string, total_fare double"
+    make = lambda picked: spark.createDataFrame(picked, kind).withColumns(
+        {c: F.col(c).cast("date") for c in ("collection_date", "outbound_date")})
+    small, large = str(tmp_path / "small"), str(tmp_path / "large")
+    parts = [rows[:2], rows, [*rows, ("2024-02-02", "A-B", None, "4", 1.0)], rows[2:4]]
+    want = [writers.append_new(make(p), small, order=["total_fare"]) for p in parts]
+    monkeypatch.setattr(writers, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(writers, "stored_keys", None)  # not needed
+    assert [writers.append_new(make(p), large, order=["total_fare"]) for p in parts] == want
+    read = lambda path: sorted(map(repr, spark.read.parquet(path).collect()))
+    assert read(large) == read(small) and len(read(large)) == 5
