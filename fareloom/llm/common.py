@@ -6,9 +6,10 @@ import types
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
 # White space that separates words: space and the control characters tab to carriage return.
 SPACES = "\t\n\x0b\x0c\r "
@@ -42,23 +43,43 @@ def shingle_hashes(words: Column, size: int) -> Column:
         F.array().cast("array<bigint>"))
 
 
-def spread(df: DataFrame, text: str, keep: Sequence[str], extra: Column | None = None) -> DataFrame:
+def text_column(text: str | Sequence[str]) -> Column:
+    """The column of that name, or the field at that path within a struct column."""
+    return F.col(".".join(f"`{name}`" for name in ([text] if isinstance(text, str) else text))).cast("string")
+
+
+def spread(df: DataFrame, text: str | Sequence[str], keep: Sequence[str], extra: Column | None = None) -> DataFrame:
     """`row` (the kept columns as one struct, so that no name can clash), `text`, and `extra` if given."""
     row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(None).cast("int").alias("none"))
     more = [] if extra is None else [extra.alias("extra")]
-    return df.select(row.alias("row"), F.col(f"`{text}`").cast("string").alias("text"), *more)
+    return df.select(row.alias("row"), text_column(text).alias("text"), *more)
+
+
+def _within(row: StructType, path: Sequence[str]) -> list[int] | None:
+    """Positions that lead to the string at `path` within `row`; None if no one string is there."""
+    found: list[int] = []
+    for name in path:
+        at = [k for k, f in enumerate(row) if f.name.lower() == name.lower()] if isinstance(row, StructType) else []
+        if len(at) != 1:
+            return None
+        found, row = [*found, at[0]], row[at[0]].dataType
+    return found if isinstance(row, StringType) else None
 
 
 def per_text(
-    df: DataFrame, text: str, keep: Sequence[str], fields: str,
+    df: DataFrame, text: str | Sequence[str], keep: Sequence[str], fields: str,
     make: Callable[[], Callable[..., Iterable[dict]]], extra: Column | None = None,
 ) -> DataFrame:
     """The kept columns and one struct `made` per row, computed from the UTF-8 bytes of the text column.
 
     `make()` runs once per task and returns a function from a list of texts to one dict per text with the keys of
     `fields` (a DDL list); `extra`, if given, comes as a second list. Texts arrive in Arrow batches and leave as Arrow columns, so no row passes alone.
+    `text` may be a path into a kept struct column: such a text goes to the workers once, within its row.
     """
     source, given = spread(df, text, keep, extra), extra is not None
+    path = None if isinstance(text, str) else _within(source.schema["row"].dataType, text)
+    if path is not None:
+        source = source.drop("text")
     wanted = _parse_datatype_string(fields)
     out = StructType([StructField("row", source.schema["row"].dataType), StructField("made", wanted)])
 
@@ -67,10 +88,12 @@ def per_text(
         for batch in batches:
             for low in range(0, batch.num_rows, 1024):
                 part = batch.slice(low, 1024)
-                texts = part.column("text").cast(pa.binary()).to_pylist()
+                column = part.column("text") if path is None else pc.struct_field(part.column("row"), path)
+                texts = column.cast(pa.binary()).to_pylist()
                 others = [part.column("extra").to_pylist()] if given else []
                 made = pa.array(list(work(texts, *others)), kind)
                 yield pa.RecordBatch.from_arrays([part.column("row"), made], ["row", "made"])
+        pa.default_memory_pool().release_unused()  # workers live on, beside an executor that needs the memory
 
     return source.mapInArrow(run, out)
 

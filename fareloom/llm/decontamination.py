@@ -13,14 +13,14 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from hashlib import sha256
 from itertools import accumulate
 
 import ahocorasick
 from pyspark.sql import DataFrame, functions as F
 
-from fareloom.llm.common import opened, per_text, without
+from fareloom.llm.common import opened, per_text, text_column, without
 
 # Byte table of the normal form: kept bytes stay, A-Z become a-z, all other ASCII becomes a space.
 _KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz"
@@ -114,11 +114,11 @@ def _scanner(shared):
 
 
 def find_passages(
-    docs: DataFrame, items: DataFrame, *, text: str = "text", keep: list[str] | None = None, item_id: str = "item_id",
+    docs: DataFrame, items: DataFrame, *, text: str | Sequence[str] = "text", keep: list[str] | None = None, item_id: str = "item_id",
     item_text: str = "text", window: int = 10, max_item_chars: int = MAX_ITEM_CHARS,
 ) -> DataFrame:
     """The kept columns of every document with n_words, hits (word intervals, both ends included), items (ids as text,
-    sorted) and spans (code-point offsets of the hits in the original text).
+    sorted) and spans (code-point offsets of the hits in the original text). `text` is a column or a path, as in `per_text`.
 
     The items' size is measured first. Items beyond `max_item_chars` are dealt into parts by a hash of their id; every
     part has its own automaton and scans the texts in a pass of its own, and the passes' intervals are united.
@@ -133,7 +133,7 @@ def find_passages(
     # The text travels along only if it is scanned again.
     carried = keep if parts == 1 else [F.col(f"`{c}`") for c in keep]
     source = docs if parts == 1 else docs.select(
-        (F.struct(*carried) if carried else F.lit(None).cast("int")).alias("_row"), F.col(f"`{text}`").cast("string").alias("text"))
+        (F.struct(*carried) if carried else F.lit(None).cast("int")).alias("_row"), text_column(text).alias("text"))
     done = None
     for part in range(parts):
         own = listed.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == part) if parts > 1 else listed

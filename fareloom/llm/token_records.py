@@ -97,19 +97,20 @@ class Encoder:
     white space or with the text of a special token go through the library whole.
     """
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, remembered: int | None = None):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(file)
+        self.tokenizer, self.remembered = Tokenizer.from_file(file), remembered
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
         self.kind = f"<u{self.width}"
         self.memo: dict[str, dict[str, bytes]] = {" ": {}, "": {}, "tail": {}}
         # The splitting rule leaves letters whole, so for them the same model may split at line ends only: that is faster.
-        parts = json.loads(self.tokenizer.to_str())
+        # Both share one model; only texts without special tokens come to the second.
+        splits = self.tokenizer.pre_tokenizer
         self.lines = None
-        if parts["normalizer"] is None and parts["pre_tokenizer"].get("type") == "ByteLevel":
-            self.lines = Tokenizer.from_file(file)
+        if self.tokenizer.normalizer is None and splits is not None and json.loads(splits.__getstate__()).get("type") == "ByteLevel":
+            self.lines = Tokenizer(self.tokenizer.model)
             self.lines.pre_tokenizer = pre_tokenizers.Split(byte_letters()[10], "isolated")
         self.line_end, = self._whole(["\n"])
 
@@ -159,7 +160,7 @@ class Encoder:
         for low in range(0, len(texts), 64):
             part = texts[low:low + 64]
             for memo in self.memo.values():
-                if len(memo) > MEMO:
+                if len(memo) > (MEMO if self.remembered is None else self.remembered):
                     memo.clear()
             loose = list(map(self._loose, part))
             split = [[] if x else [line.split(" ") for line in t.split("\n")] for t, x in zip(part, loose)]
@@ -181,18 +182,19 @@ class Encoder:
 
 def write_records(
     docs: DataFrame, path: str, tokenizer: str, *, text: str = "text", doc_id: str = "doc_id", end_id: int = 2,
-    records_per_file: int = RECORDS_PER_FILE,
+    records_per_file: int = RECORDS_PER_FILE, remembered: int | None = None,
 ) -> None:
     """Tokenise `docs` and write one record per document to `path`/records, in ascending order of ids.
 
-    `tokenizer` is a file that every executor has at that path.
+    `tokenizer` is a file that every executor has at that path. A process remembers the ids of `remembered` words at most
+    of each kind (default: MEMO); fewer take less memory and more time.
     """
     ordered = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
     ordered = ordered.repartitionByRange("_id").sortWithinPartitions("_id", F.xxhash64("_text"))
     source = spread(ordered, "_text", ["_id"]).select(F.col("row._id").cast("string").alias("id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = per_process(f"encoder {tokenizer}", lambda: Encoder(tokenizer))
+        encoder = per_process(f"encoder {tokenizer} {remembered}", lambda: Encoder(tokenizer, remembered))
         end = np.array([end_id], encoder.kind).tobytes()
         for batch in batches:
             for low in range(0, batch.num_rows, 256):

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from itertools import chain
 
 import numpy as np
@@ -260,8 +260,8 @@ def learn(
 FIELDS = "score double, evidence array<struct<example:string,similarity:double,label:double>>"
 
 
-def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns with score, predicted (1 from 0.5 up) and evidence (the nearest examples)."""
+def score(docs: DataFrame, model: Model, *, text: str | Sequence[str] = "text", keep: list[str] | None = None) -> DataFrame:
+    """The kept columns with score, predicted (1 from 0.5 up) and evidence (the nearest examples); `text` as in `per_text`."""
     keep = docs.columns if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

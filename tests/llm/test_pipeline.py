@@ -1,15 +1,17 @@
 """Every stage against a brute-force version of it on its own input."""
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import cases
 import corpus_pipeline
-from fareloom.llm import toxicity
+from fareloom.llm import decontamination, toxicity
 from test_decontamination import plain as contaminated
 from test_near_copies import reached
 
@@ -118,3 +120,24 @@ def test_extra_columns_survive(spark, sf_dir):
         docs = stage(spark, docs, sf_dir)
         assert docs.columns == cases.docs(spark).columns, name
     assert {r.score for r in docs.select("score").collect()} <= {"s"}
+
+
+def test_text_goes_to_workers_once(spark, sf_dir):
+    """A batch holds a text within its row, not beside it too, which doubled what workers and executors hold."""
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_contaminated):
+        plan = stage(spark, cases.docs(spark), sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        sent = [line for line in plan.splitlines() if "MapInArrow" in line]
+        assert len(sent) == 1 and re.search(r"run\(row#\d+\)", sent[0]), sent
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_text_by_path(spark, parts):
+    docs = cases.docs(spark, [(20, "x ONE two three four five six seven eight nine ten y", "en", "a")])
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, "lazy dog")], "item_id long, text string")
+    held = docs.select("doc_id", "source", F.struct("n_chars", F.col("text").alias("Text")).alias("_doc"), F.lit("no").alias("text"))
+    size = 1_000_000 if parts == 1 else 20
+    find = lambda rows, **given: Counter(map(repr, decontamination.find_passages(rows, items, keep=["doc_id"], max_item_chars=size, **given).collect()))
+    want = find(docs)
+    keep_doc = decontamination.find_passages(held, items, text=("_doc", "text"), keep=["doc_id", "_doc"], max_item_chars=size).drop("_doc")
+    assert Counter(map(repr, keep_doc.collect())) == want and len(want) > 5
+    assert find(held, text=("_doc", "text")) == want  # the struct itself is not kept, so the text goes beside the row
