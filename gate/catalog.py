@@ -671,6 +671,11 @@ def index_bundle(s, d):
     }, idx.index_bundle(v.dense(s, d), v.WEIGHTS))
 
 
+# Columns that result tables are made from, and those that all result tables of a run take besides.
+_AGGREGATED = ("route", "outbound_date", "total_fare", "airline", "advance_purchase_days", "is_weekend", "stops")
+_ANALYSED = (*_AGGREGATED, "total_duration_minutes", "collection_timestamp")
+
+
 @query
 def all_aggregations(s, d):
     return _sectioned({
@@ -682,7 +687,7 @@ def all_aggregations(s, d):
         "booking_window": ("concat(route, '/', booking_window_category)", "observations", "median_fare"),
         "weekday_weekend": ("concat(route, '/', day_type)", "observations", "median_fare"),
         "index_input": ("concat(outbound_date, '/', route)", "sample_size", "fare_volatility_pct"),
-    }, agg.all_aggregations(v.dense(s, d)))
+    }, agg.all_aggregations(v.dense(s, d, *_AGGREGATED, "duration_minutes", "booking_window_category")))
 
 
 @query
@@ -872,7 +877,7 @@ def build_dataset(s, d):
 @query
 def run_analytics(s, d):
     folder = fresh_path(s, "results")
-    names = analytics.run_analytics(v.dense(s, d), folder, v.WEIGHTS)
+    names = analytics.run_analytics(v.dense(s, d, *_ANALYSED), folder, v.WEIGHTS)
     made = {n: s.read.parquet(f"{folder}/index/{n}.parquet" if n in analytics.INDEX_TABLES else f"{folder}/{n}.parquet")
             for n in names}
     return _sectioned({
@@ -896,7 +901,7 @@ def run_analytics(s, d):
 @query
 def sink_published(s, d):
     """Result tables published twice; between the two a run breaks off, and readers follow the first version then."""
-    folder, rows = fresh_path(s, "published"), v.dense(s, d)
+    folder, rows = fresh_path(s, "published"), v.dense(s, d, *_ANALYSED)
     analytics.run_analytics(rows.filter("route = 'ASIA-EUROPE'"), folder, v.WEIGHTS, versioned=True)
     first = versions.current(s, folder)
     broken = rows.select(F.when(F.col("total_fare") > 0, F.raise_error(F.lit("broken off")).cast("int")).alias("x"))

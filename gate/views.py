@@ -146,9 +146,9 @@ def bucketed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return spark.table(names[0]), spark.table(names[1])
 
 
-def dense(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
+def dense(spark: SparkSession, sf_dir: str, *columns: str, once: bool = False) -> DataFrame:
     """Observations with travel dates moved to the first of the month, so that date groups are large."""
-    return sparse(spark, sf_dir, once=once).withColumn("outbound_date", F.trunc("outbound_date", "month"))
+    return sparse(spark, sf_dir, *columns, once=once).withColumn("outbound_date", F.trunc("outbound_date", "month"))
 
 
 # Route weights used by the index queries.

@@ -28,6 +28,11 @@ def test_only_used_columns_are_stored(spark, sf_dir, fresh, name):
     assert sorted(map(repr, QUERIES[name](spark, sf_dir).collect())) == pruned
 
 
+@pytest.mark.parametrize("name", ["all_aggregations", "sink_published", "run_analytics"])
+def test_result_tables_store_what_they_use(spark, sf_dir, fresh, name):
+    test_only_used_columns_are_stored(spark, sf_dir, fresh, name)
+
+
 def test_computed_equals_stored(spark, sf_dir, fresh):
     for view in (v.sparse, v.dirty, v.landed, v.flattened):
         once = sorted(map(repr, view(spark, sf_dir, once=True).collect()))
