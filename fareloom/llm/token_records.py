@@ -15,6 +15,7 @@ by a hash of their text; other columns are not written; an empty table makes no
 """
 from __future__ import annotations
 
+import codecs
 import json
 import re
 import struct
@@ -39,7 +40,7 @@ _L = "A-Za-zÀ-ÖØ-öø-ɏ"
 _OTHER = re.compile(f"[^\x00-\x7f{_L}]")
 _TAILED = re.compile(f"([{_L}]+)([^{_L}\\s']+)")
 # A space or a line end between other characters starts a token. Beside other white space it may not.
-_LOOSE = [[x for c in codes if chr(c).isspace() for x in (" " + chr(c), "\n" + chr(c))] for codes in (range(128), range(128, 0x3001))]
+_LOOSE = [[(chr(c), " " + chr(c), "\n" + chr(c)) for c in codes if chr(c).isspace()] for codes in (range(128), range(128, 0x3001))]
 
 
 def masked(data: bytes) -> int:
@@ -93,7 +94,7 @@ class Encoder:
 
     The tokenizer's own splitting never crosses a line end or a space that has no white space beside it, so the ids of a
     text are those of its lines and words, a word with the space before it. Every new word goes through the library
-    once: Latin letters as lines of one text, marks behind them by themselves, other words one by one. Texts with loose
+    once: Latin letters as words or lines of one text, marks behind them by themselves, other words one by one. Texts with loose
     white space or with the text of a special token go through the library whole.
     """
 
@@ -105,28 +106,38 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
         self.kind = f"<u{self.width}"
         self.memo: dict[str, dict[str, bytes]] = {" ": {}, "": {}, "tail": {}}
-        # The splitting rule leaves letters whole, so for them the same model may split at line ends only: that is faster.
-        # Both share one model; only texts without special tokens come to the second.
+        # The splitting rule leaves letters whole, so for them the same model may split at line ends, or spaces, only: that is
+        # faster. All share one model; only texts without special tokens come to the others.
         splits = self.tokenizer.pre_tokenizer
         self.lines = None
         if self.tokenizer.normalizer is None and splits is not None and json.loads(splits.__getstate__()).get("type") == "ByteLevel":
             self.lines = Tokenizer(self.tokenizer.model)
             self.lines.pre_tokenizer = pre_tokenizers.Split(byte_letters()[10], "isolated")
+            self.spaced = Tokenizer(self.tokenizer.model)
+            self.spaced.pre_tokenizer = pre_tokenizers.Split(byte_letters()[32], "merged_with_next")
+            vocabulary = self.tokenizer.get_vocab()
+            self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.opens[[k for token, k in vocabulary.items() if token.startswith(byte_letters()[32])]] = True
         self.line_end, = self._whole(["\n"])
+        self.end = np.frombuffer(self.line_end, self.kind)[0]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in done]
 
     def _learn_letters(self, words: list[str], before: str) -> None:
-        memo, end = self.memo[before], np.frombuffer(self.line_end, self.kind)[0]
+        """Words after a space are told apart by the token that the space begins, others by line ends between them."""
+        memo, w = self.memo[before], self.width
+        letters = "".join(byte_letters()[b] for b in range(256))
         for low in range(0, len(words), 300):
             part = words[low:low + 300]
-            text = (before + f"\n{before}".join(part)).encode().decode("latin-1").translate(byte_letters())
-            ids = np.array(self.lines.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
-            raw, w = ids.tobytes(), self.width
-            at = (np.concatenate([[-1], np.flatnonzero(ids == end), [len(ids)]]) * w).tolist()
-            memo.update((x, raw[a + w:b]) for x, a, b in zip(part, at, at[1:]))
+            text = codecs.charmap_decode((before + (before or "\n").join(part)).encode(), "strict", letters)[0]
+            found = (self.spaced if before else self.lines).encode_batch_fast([text], add_special_tokens=False)[0]
+            ids = np.array(found.ids, self.kind)
+            begins = np.flatnonzero(self.opens[ids]) if before else np.flatnonzero(np.concatenate([[True], ids == self.end]))
+            raw, at = ids.tobytes(), (begins * w).tolist()
+            stops = [*at[1:], len(raw)] if before else [*[x - w for x in at[1:]], len(raw)]
+            memo.update((x, raw[i:j]) for x, i, j in zip(part, at, stops))
 
     def _learn(self, new: set[str], before: str) -> None:
         """Remember the ids of new words that have `before` (a space or nothing) before them."""
@@ -152,8 +163,10 @@ class Encoder:
 
     def _loose(self, text: str) -> bool:
         """Whether a text has to go through the library whole."""
-        return (text[-1:] == "\n" or any(x in text for x in _LOOSE[0]) or any(x in text for x in self.special)
-                or not text.isascii() and any(x in text for x in _LOOSE[1]))
+        for space, after_space, after_line in _LOOSE[0] if text.isascii() else _LOOSE[0] + _LOOSE[1]:
+            if space in text and (after_space in text or after_line in text):  # one character is found much faster
+                return True
+        return text[-1:] == "\n" or any(x in text for x in self.special)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         spaced, bare = self.memo[" "], self.memo[""]

@@ -75,3 +75,31 @@ def test_damage_is_noticed(spark):
             list(t.unframe(bytes(broken)))
     with pytest.raises(ValueError):
         list(t.unframe(raw[:-3]))
+
+
+def test_words_after_spaces_are_learnt_without_line_ends():
+    """A line end between new words cost a token and a split per word."""
+    encoder, sent = t.Encoder(FILE), []
+    words = ["anreer", "Übergrößen", "naïve", "ofthe", "Ġ", "ŉa", "x"] * 2 + [f"{a}{b}q" for a in "abcdé" for b in "xyzß"]
+
+    class Kept:
+        def encode_batch_fast(self, texts, **given):
+            sent.extend(texts)
+            return spaced.encode_batch_fast(texts, **given)
+
+    spaced, encoder.spaced = encoder.spaced, Kept()
+    encoder._learn_letters(words, " ")
+    encoder._learn_letters(words, "")
+    assert len(sent) == 1 and t.byte_letters()[10] not in sent[0]
+    for word in words:
+        for before in (" ", ""):
+            assert np.frombuffer(encoder.memo[before][word], encoder.kind).tolist() == ids(before + word), (before, word)
+
+
+def test_loose_texts():
+    """As by a search for every pair of a space or line end and white space."""
+    encoder, white = t.Encoder(FILE), [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    texts = [f"a{first}{x}b{more}" for first in (" ", "\n", "") for x in [*white, "é"] for more in ("", "é", "中", " c")] + ["", "a\n", "<|endoftext|>"]
+    for text in texts:
+        want = text.endswith("\n") or "<|endoftext|>" in text or any(p + x in text for p in " \n" for x in white)
+        assert encoder._loose(text) == want, repr(text)
