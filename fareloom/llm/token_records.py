@@ -25,6 +25,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from fareloom.llm.common import binary_files, per_process, spread
@@ -34,11 +35,15 @@ MASK = 0xA282EAD8
 RECORDS_PER_FILE = 20_000
 # Words whose ids a process remembers, at most, and the longest worth remembering.
 MEMO, MEMO_CHARS = 800_000, 48
+# Texts that are encoded together, and their characters: the more, the fewer words are looked up.
+TEXTS, CHARS = 2048, 8_000_000
 
 # Latin letters, about which this module and the tokenizer's splitting rule surely agree, and what may follow a word.
 _L = "A-Za-zÀ-ÖØ-öø-ɏ"
 _OTHER = re.compile(f"[^\x00-\x7f{_L}]")
 _TAILED = re.compile(f"([{_L}]+)([^{_L}\\s']+)")
+# By byte: 1 for ASCII letters, 2 for marks, before which the splitting rule ends any run of letters.
+_KIND = np.array([chr(c).isalpha() + 2 * (32 < c < 127 and not chr(c).isalnum() and chr(c) != "'") if c < 128 else 0 for c in range(256)], np.uint8)
 # A space or a line end between other characters starts a token. Beside other white space it may not.
 _LOOSE = [[(chr(c), " " + chr(c), "\n" + chr(c)) for c in codes if chr(c).isspace()] for codes in (range(128), range(128, 0x3001))]
 
@@ -93,7 +98,8 @@ class Encoder:
     """Token ids of texts as bytes, by the `tokenizers` library, with a memo of words.
 
     The tokenizer's own splitting never crosses a line end or a space that has no white space beside it, so the ids of a
-    text are those of its lines and words, a word with the space before it. Every new word goes through the library
+    text are those of its lines and words, a word with the space before it. The bytes of many texts are cut there, equal
+    pieces are found by Arrow and looked up once, and their ids are gathered into place. Every new word goes through the library
     once: Latin letters as words or lines of one text, marks behind them by themselves, other words one by one. Texts with loose
     white space or with the text of a special token go through the library whole.
     """
@@ -139,7 +145,7 @@ class Encoder:
             stops = [*at[1:], len(raw)] if before else [*[x - w for x in at[1:]], len(raw)]
             memo.update((x, raw[i:j]) for x, i, j in zip(part, at, stops))
 
-    def _learn(self, new: set[str], before: str) -> None:
+    def _learn(self, new: list[str], before: str) -> None:
         """Remember the ids of new words that have `before` (a space or nothing) before them."""
         memo, tails = self.memo[before], self.memo["tail"]
         latin = self.lines is not None and not _OTHER.search("".join(new))
@@ -168,29 +174,66 @@ class Encoder:
                 return True
         return text[-1:] == "\n" or any(x in text for x in self.special)
 
+    def _values(self, pieces: pa.Array, before: str) -> list[bytes]:
+        """Ids of distinct words that have `before` before them."""
+        words, memo = pieces.to_numpy(zero_copy_only=False).tolist(), self.memo[before]  # to_pylist is much slower
+        found = list(map(memo.get, words))
+        places = [k for k, ids in enumerate(found) if ids is None]
+        new = [words[k] for k in places]
+        self._learn(new, before)
+        for k, word in zip(places, new):
+            found[k] = memo[word] if len(word) <= MEMO_CHARS else memo.pop(word)
+        return found
+
+    def _pieces(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of texts without loose white space. They are cut before every space and line end, and behind letters before marks."""
+        column = pa.array(texts, pa.string())
+        ends = np.frombuffer(column.buffers()[1], np.int32, len(texts) + 1)
+        data = column.buffers()[2] or pa.py_buffer(b"")
+        raw = np.frombuffer(data, np.uint8, ends[-1])
+        cut = (raw == 32) | (raw == 10)
+        if self.lines is not None:
+            cut[1:] |= (_KIND[raw[:-1]] == 1) & (_KIND[raw[1:]] == 2)
+        cut[ends[:-1][np.diff(ends) > 0]] = True
+        starts = np.flatnonzero(cut).astype(np.int32)
+        cuts = np.append(starts, np.int32(len(raw)))
+        coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(cuts), data).dictionary_encode()
+        codes, pieces = coded.indices.to_numpy(), coded.dictionary
+        first = pc.binary_slice(pieces.cast(pa.binary()), 0, 1).to_numpy(zero_copy_only=False)
+        opens = {" ": first == b" ", "\n": first == b"\n"}
+        values = np.empty(len(pieces), object)
+        for mark, before in ((" ", " "), ("\n", ""), ("", "")):
+            own = opens.get(mark, ~(opens[" "] | opens["\n"]))
+            if own.any():
+                words = pc.utf8_slice_codeunits(pieces.filter(pa.array(own)), len(mark))
+                found = self._values(words, before)
+                values[own] = [self.line_end + ids for ids in found] if mark == "\n" else found
+        values = values.tolist()
+        size = np.fromiter(map(len, values), np.int32, len(values)) // self.width
+        flat, begin = np.frombuffer(b"".join(values), self.kind), np.cumsum(size, dtype=np.int32) - size
+        long = size[codes]
+        stop = np.cumsum(long, dtype=np.int32)
+        placed = flat[np.repeat(begin[codes] - (stop - long), long) + np.arange(stop[-1] if len(stop) else 0, dtype=np.int32)]
+        upto = np.concatenate([[0], stop])[np.searchsorted(starts, ends)] * self.width
+        done = placed.tobytes()
+        return (done[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist()))
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        spaced, bare = self.memo[" "], self.memo[""]
-        for low in range(0, len(texts), 64):
-            part = texts[low:low + 64]
+        low = 0
+        while low < len(texts):
+            stop, held = low + 1, len(texts[low])
+            while stop < len(texts) and stop - low < TEXTS and held + len(texts[stop]) <= CHARS:
+                held += len(texts[stop])
+                stop += 1
+            part, low = texts[low:stop], stop
             for memo in self.memo.values():
                 if len(memo) > (MEMO if self.remembered is None else self.remembered):
                     memo.clear()
             loose = list(map(self._loose, part))
-            split = [[] if x else [line.split(" ") for line in t.split("\n")] for t, x in zip(part, loose)]
-            every = [words for lines in split for words in lines]
-            new = {" ": set().union(*(words[1:] for words in every)).difference(spaced),
-                   "": {words[0] for words in every}.difference(bare)}
-            for before, words in new.items():
-                self._learn(words, before)
             whole = iter(self._whole([t for t, x in zip(part, loose) if x]))
-            known = spaced.__getitem__
-            for lines, x in zip(split, loose):
-                yield next(whole) if x else self.line_end.join(
-                    [b"".join([bare[words[0]], *map(known, words[1:])]) for words in lines])
-            for before, words in new.items():
-                for word in words:
-                    if len(word) > MEMO_CHARS:
-                        del self.memo[before][word]
+            plain = self._pieces([t for t, x in zip(part, loose) if not x])
+            for x in loose:
+                yield next(whole if x else plain)
 
 
 def write_records(
@@ -210,8 +253,8 @@ def write_records(
         encoder = per_process(f"encoder {tokenizer} {remembered}", lambda: Encoder(tokenizer, remembered))
         end = np.array([end_id], encoder.kind).tobytes()
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+            for low in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(low, TEXTS)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([
                     frame(pack(doc, ids + end, encoder.width))

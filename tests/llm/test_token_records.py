@@ -103,3 +103,26 @@ def test_loose_texts():
     for text in texts:
         want = text.endswith("\n") or "<|endoftext|>" in text or any(p + x in text for p in " \n" for x in white)
         assert encoder._loose(text) == want, repr(text)
+
+
+def test_equal_pieces_are_looked_up_once():
+    """Every occurrence was, and a word with marks behind it was another word."""
+    encoder, learnt = t.Encoder(FILE), []
+    learn = encoder._learn
+    encoder._learn = lambda words, before: (learnt.extend((before, w) for w in words), learn(words, before))
+    texts = ["word, word. word", "", "word\nword! (word)", " word word's", "", "\nword a.b", "word\tword", "word  word", "é, word;"] * 3
+    for text, raw in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(raw, encoder.kind).tolist() == ids(text), repr(text)
+    assert len(learnt) == len(set(learnt)) and {w for before, w in learnt if before} == {"word", "(word", "word's", "a"}
+    assert set(encoder.memo[" "]) == {"word", "(word", "word's", "a"}
+
+
+@pytest.mark.parametrize("texts,chars", [(1, 10 ** 6), (7, 10 ** 6), (100, 30), (10 ** 6, 10 ** 6)])
+def test_texts_in_parts(monkeypatch, texts, chars):
+    monkeypatch.setattr(t, "TEXTS", texts)
+    monkeypatch.setattr(t, "CHARS", chars)
+    rows = [r[1] or "" for r in cases.rows()] * 2 + ["", "x" * 100 + " y", ""]
+    encoder = t.Encoder(FILE, 3)
+    for text, raw in zip(rows, encoder.encode(rows), strict=True):
+        assert np.frombuffer(raw, encoder.kind).tolist() == ids(text)
+    assert list(encoder.encode([])) == []
