@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 import cases
 import corpus_pipeline
-from fareloom.llm import decontamination, toxicity
+from fareloom.llm import decontamination, near_copies, toxicity
 from test_decontamination import plain as contaminated
 from test_near_copies import reached
 
@@ -141,3 +141,17 @@ def test_text_by_path(spark, parts):
     keep_doc = decontamination.find_passages(held, items, text=("_doc", "text"), keep=["doc_id", "_doc"], max_item_chars=size).drop("_doc")
     assert Counter(map(repr, keep_doc.collect())) == want and len(want) > 5
     assert find(held, text=("_doc", "text")) == want  # the struct itself is not kept, so the text goes beside the row
+
+
+def test_simhash_links_count_in_near_dedup(spark, sf_dir):
+    """Documents that the SimHash operator links are near copies, though few of their five-word shingles are shared; both
+    kinds of links make one class."""
+    body = "one two three four five six seven eight nine " * 100
+    tail = [" ".join(f"w{k}x{i}" for i in range(25)) for k in range(2)]
+    close = " ".join(f"v{i}" for i in range(60))
+    texts = [(1, body + tail[0]), (2, body + tail[1]), (3, body + tail[1] + " more"), (4, close), (5, close + " end"), (None, "alone " + close[:40])]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in texts], cases.sample(spark, sf_dir).schema)
+    alike = near_copies.near_classes(docs.select("doc_id", "text"), candidates=near_copies.by_simhash).collect()
+    assert {r.doc_id: r.component_id for r in alike}[2] == 2  # by similarity alone it is another class than document 1
+    kept = corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 4]
