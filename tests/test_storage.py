@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fareloom import schema
 from fareloom.plans import analytics, dashboard, dataset
+from fareloom.session import shared_folder
 from fareloom.sources import readers, writers
 from fareloom.streaming.ingest import ingest_stream, observations_from, process_batch
 from tests.helpers import DAY, TS, rows
@@ -361,3 +362,16 @@ def test_large_batches_join_nothing(spark, tmp_path, monkeypatch):
     assert [writers.append_new(make(p), large, order=["total_fare"]) for p in parts] == want
     read = lambda path: sorted(map(repr, spark.read.parquet(path).collect()))
     assert read(large) == read(small) and len(read(large)) == 5
+
+
+def test_append_leaves_no_copies(spark, tmp_path):
+    """What an append writes on the way takes no disk once the rows are stored."""
+    rows = spark.createDataFrame([(1, "a", "2024-01"), (1, "a", "2024-01"), (None, "b", None)], "k long, t string, collection_month string")
+    folder = shared_folder(spark)
+    there = lambda: {p for p in os.listdir(folder) if p.startswith(("batch-", "fresh-"))} if os.path.isdir(folder) else set()
+    before = there()
+    for want in (2, 0):
+        found = writers.append_new(rows, f"{tmp_path}/stored", ["k"], ["t"])
+        assert found == {"uploaded": want, "skipped_duplicates": 3 - want}
+    assert there() == before
+    assert spark.read.parquet(f"{tmp_path}/stored").count() == 2
