@@ -49,3 +49,9 @@ def test_documents_are_compressed(spark, sf_dir, fresh):
     names = spark.read.text(v.records_json(spark, sf_dir)).inputFiles()
     assert names and all(name.endswith(".txt.gz") for name in names)
     assert len(QUERIES["src_observation_json"](spark, sf_dir).collect()) == v.dirty(spark, sf_dir, once=True).count()
+
+
+def test_laid_out_stores_no_second_copy(spark, sf_dir, fresh):
+    """The table by month of travel is computed from the driver's tables, without storing all observations beside it."""
+    v.laid_out(spark, sf_dir)
+    assert [name for _, _, name in v._written] == ["laid_out"]
