@@ -252,7 +252,8 @@ def _dirty_searches(spark, sf_dir):
 
 
 def _csv(df):
-    plain = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    """Writes CSV by gzip: every task of the plan writes a file, so there are as many to read."""
+    plain = {"compression": "gzip", "header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     return lambda path: df.write.options(**plain).csv(path)
 
 

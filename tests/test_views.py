@@ -55,3 +55,9 @@ def test_laid_out_stores_no_second_copy(spark, sf_dir, fresh):
     """The table by month of travel is computed from the driver's tables, without storing all observations beside it."""
     v.laid_out(spark, sf_dir)
     assert [name for _, _, name in v._written] == ["laid_out"]
+
+
+def test_csv_is_compressed(spark, sf_dir, fresh):
+    for path in (v.searches_csv(spark, sf_dir), v.options_csv(spark, sf_dir)):
+        names = [f.split("/")[-1] for f in spark.read.text(path).inputFiles()]
+        assert names and all(n.endswith(".csv.gz") for n in names)
